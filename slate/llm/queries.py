@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.llm import ann_graph, bpe, kd_shards, metric_join, minhash_forest, url_rules
+from slate.llm import ann_graph, bpe, cdc, kd_shards, langid, license_scan, metric_join, minhash_forest, mixing, url_rules
 
 URL_RULES = [
     url_rules.Rule("com/en/", "block"),
@@ -18,23 +18,48 @@ URL_RULES = [
     url_rules.Rule("org/es/", "block"),
 ]
 
+#: Shares of all tokens by quality and toxicity label.
+MIX_TARGETS = {"good": 0.8, "plain": 0.15, "toxic": 0.05}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled documents."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return _table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
 def op1_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_graph.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), domains(spark, sf_dir), MIX_TARGETS)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards.shard(_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
