@@ -7,9 +7,9 @@
     (so the depth adapts to how crowded the region is), and the region's smallest doc_id.
 3.  These candidates are confirmed on full sets, and components are built from the links.
 4.  What the neighbours left open: in regions that still hold several components, every document outside the
-    largest one is held, by the estimate from all MinHash values, against the region's documents of other
-    components, in blocks; what may reach the threshold is confirmed too. So no pair that shares a region of any
-    tree is lost, and none within a component is ever listed.
+    largest one is held, by two bytes of each shingle (an upper bound of what they share), against the region's
+    documents of other components, in blocks; what may reach the threshold is confirmed too. So no pair that shares a
+    region of any tree is lost, and none within a component is ever listed.
 
 A pair at similarity 0.8 shares none of the regions with probability (1 - 0.8**4)**16 = 0.0002.
 Rows without doc_id link with nothing (component_id null, kept true); rows of one doc_id are one node; null or
@@ -28,10 +28,8 @@ from pyspark.sql import functions as F
 from slate.llm.common import components, mix, passes, save, shingle_sets, small_batches, splitmix
 
 TREES, DEPTH, BASE = 16, 6, 4
-#: Documents of a region that one task compares with one another by estimate.
+#: Documents of a region that one task compares with its open ones.
 BLOCK = 256
-#: An estimate from 96 values falls this far below the true similarity with probability under 1e-6.
-SLACK = 0.2
 
 _KEYS = splitmix(TREES * DEPTH, 0xF04E57)
 _MULT = splitmix(TREES * DEPTH, 0x5EED) | np.uint64(1)
@@ -103,16 +101,45 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _compare_block(least: float):
+def fingerprints(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(doc, prints): two bytes of each shingle of the documents in ``wanted`` (doc), one for each shingle."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc")
+            for at, texts in passes(batch):
+                sets = [(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in shingle_sets(texts, width)]
+                yield pa.RecordBatch.from_arrays([ids[at.start : at.stop], pa.array(sets, pa.binary())], ["doc", "prints"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
+    joined = wanted.join(texts, F.col("doc") == F.col("id")).select("doc", "text").mapInArrow(run, "doc long, prints binary")
+    return joined.groupBy("doc").agg(F.max("prints").alias("prints"))
+
+
+def _compare_block(percent: int):
+    """Pairs of a block, one of them open, of different components, that by their prints may reach the threshold.
+
+    Shared prints are at least the shared shingles, so no link is lost.
+    """
+
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["doc", "component", "open", "signature"]).to_pydict()
+        rows = table.select(["doc", "component", "open", "prints"]).to_pydict()
         docs, comp = np.array(rows["doc"], np.int64), np.array(rows["component"], np.int64)
-        sig = np.frombuffer(b"".join(rows["signature"]), np.uint16).reshape(len(docs), -1)
+        prints = [np.frombuffer(p, np.uint16) for p in rows["prints"]]
+        sizes = np.fromiter(map(len, prints), np.int64, len(prints))
         is_open = np.array(rows["open"], bool)
         rest = np.flatnonzero(~is_open)
+        if not len(rest):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        flat = np.concatenate([prints[j] for j in rest])
+        starts = np.cumsum(sizes[rest]) - sizes[rest]
         a, b = [], []
+        has = np.zeros(1 << 16, bool)
         for i in np.flatnonzero(is_open):
-            like = rest[(comp[rest] != comp[i]) & ((sig[rest] == sig[i]).mean(axis=1) >= least)]
+            has[prints[i]] = True
+            both = np.minimum(np.add.reduceat(has[flat], starts, dtype=np.int64), sizes[i])
+            has[prints[i]] = False
+            like = rest[(comp[rest] != comp[i]) & (100 * both >= percent * (sizes[rest] + sizes[i] - both))]
             a += [docs[i]] * len(like)
             b += docs[like].tolist()
         return pa.table({"a": pa.array(np.minimum(a, b) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b) if a else [], pa.int64())})
@@ -144,7 +171,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sides = mixed.select("tree", "region", "doc", "component", F.pmod(F.hash("doc"), blocks).alias("block"), F.lit(False).alias("open")).union(
         mixed.where("component <> main").select("tree", "region", "doc", "component", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("open"))
     )
-    compared = sides.join(classes, "doc").groupBy("tree", "region", "block").applyInArrow(_compare_block(percent / 100 - SLACK), "a long, b long")
+    sides = save(sides)
+    prints = save(fingerprints(docs, sides.select("doc").distinct(), width))
+    compared = sides.join(prints, "doc").groupBy("tree", "region", "block").applyInArrow(_compare_block(percent), "a long, b long")
     second = save(confirm(compared.distinct().join(first, ["a", "b"], "left_anti"), docs, width, percent))
     if not second.isEmpty():
         reached = components(links.union(second))
