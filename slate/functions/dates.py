@@ -12,14 +12,14 @@ def idate(x: Column) -> Column:
 
 def itime(x: Column, ms: str = "truncate") -> Column:
     """Seconds since midnight as an integer."""
-    micros = F.hour(x).cast("long") * 3_600_000_000 + F.minute(x) * 60_000_000 + (F.date_format(x, "ss.SSSSSS").cast("decimal(8,6)") * 1_000_000).cast("long")
+    micros = F.hour(x).cast("long") * 3_600_000_000 + F.minute(x).cast("long") * 60_000_000 + (F.date_format(x, "ss.SSSSSS").cast("decimal(8,6)") * 1_000_000).cast("long")
     seconds = {"truncate": F.floor(micros / 1e6), "nearest": F.round(micros / 1e6), "ceil": F.ceil(micros / 1e6)}[ms]
     return seconds.cast("int")
 
 
 def date_time(date: Column, seconds: Column) -> Column:
     """The moment, without time zone, of a date and its second."""
-    return F.timestamp_add("SECOND", seconds, date.cast("timestamp_ntz")) if hasattr(F, "timestamp_add") else date.cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return date.cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 year, month, mday, yday, quarter, wday = F.year, F.month, F.dayofmonth, F.dayofyear, F.quarter, F.dayofweek
