@@ -43,10 +43,13 @@ def r4(c: Column) -> Column:
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 _LINE = ", ".join(LINE)
 #: The tables hold no missing values, so both sides make some alike.
-QTY = F.when(F.col("l_quantity") != 7, F.col("l_quantity"))
 _QTY = "nullif(l_quantity, 7)"
 
 
+def qty() -> Column:
+    return F.when(F.col("l_quantity") != 7, F.col("l_quantity"))
+
+
 # --- rows and columns ---
 
 
@@ -57,7 +60,7 @@ def filter_select(t):
 
 @query(f"SELECT l_orderkey, l_linenumber, {_QTY} AS q FROM lineitem WHERE NOT coalesce({_QTY} IN (1, 2, 3), false)")
 def notin_keeps_missing(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", QTY.alias("q")).where(S.notin(F.col("q"), [1, 2, 3]))
+    return t("lineitem").select("l_orderkey", "l_linenumber", qty().alias("q")).where(S.notin(F.col("q"), [1, 2, 3]))
 
 
 @query("SELECT p_partkey, coalesce(regexp_matches(p_name, 'a.*e'), false) AS re, contains(p_type, 'A') AS fixed, regexp_matches(p_brand, '(?i)BRAND') AS any_case, p_size >= 5 AND p_size <= 15 AS mid FROM part")
@@ -141,7 +144,7 @@ round(coalesce(sum(q), 0), 4) AS s_rm, CASE WHEN count(q) = 0 THEN 'NaN'::DOUBLE
 FROM (SELECT l_orderkey, {_QTY} AS q FROM lineitem) GROUP BY 1""")
 def aggregates_missing(t):
     j = {"s": r4(A.total("q")), "m": r4(A.mean("q")), "lo": A.least("q"), "s_rm": r4(A.total("q", True)), "m_rm": r4(A.mean("q", True)), "hi_rm": A.greatest("q", True), "med_rm": r4(A.median("q", True)), "sd_rm": r4(A.sd("q", True)), "var_rm": r4(A.var("q", True))}
-    return A.summarise(t("lineitem").select("l_orderkey", QTY.alias("q")), ["l_orderkey"], j)
+    return A.summarise(t("lineitem").select("l_orderkey", qty().alias("q")), ["l_orderkey"], j)
 
 
 @query(f"""SELECT l_suppkey, arg_min(l_quantity, ({_LINE})) AS first_q, arg_max(l_quantity, ({_LINE})) AS last_q, count(DISTINCT l_returnflag) AS flags,
