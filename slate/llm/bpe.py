@@ -3,7 +3,7 @@
 Each match of the pre-split pattern is merged on its own: leaves hold the rank of the pair that begins at a byte
 position, inner nodes the smallest rank with its leftmost position, so the next merge is read at the root, and a merge
 updates two or three leaves, each in logarithmic time. A match of n bytes costs n log n whatever it holds. Matches
-repeat, so a bounded cache keeps what they encode to.
+repeat, so a bounded cache keeps what the latest ones encode to.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from slate.llm.common import passes, small_batches
 
-#: Matches that a worker remembers, and the longest it remembers.
-CACHE, CACHED_BYTES = 100_000, 64
+#: Matches in each of the two generations that a worker remembers, and the longest it remembers.
+CACHE, CACHED_CHARS = 200_000, 64
 NONE = 1 << 60
 
 
@@ -29,43 +29,48 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    size = 1 << max(0, n - 1).bit_length()
-    tree = [NONE] * (2 * size)  # the least rank below each node; leaves from size on
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def pair_rank(i: int) -> int:
-        j = after[i]
-        return ranks.get(piece[i : after[j]], NONE) if j < n else NONE
-
-    for i in range(n - 1):
-        tree[size + i] = pair_rank(i)
-    for k in range(size - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(i: int, rank: int) -> None:
-        k = size + i
+    n, get = len(piece), ranks.get
+    level = [get(piece[i : i + 2], NONE) for i in range(n - 1)]
+    size = 1 << max(0, n - 2).bit_length()
+    level += [NONE] * (size - len(level))
+    levels = [level]
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        levels.append(level)
+    tree = [NONE]  # the least rank below each node: the root is 1, leaves are from size on
+    for level in reversed(levels):
+        tree += level
+
+    def put(k: int, rank: int) -> None:
         tree[k] = rank
         while k > 1:
+            other = tree[k ^ 1]
+            if other < rank:
+                rank = other
             k >>= 1
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
-                break
-            tree[k] = least
+            if tree[k] == rank:
+                return
+            tree[k] = rank
 
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while (least := tree[1]) < NONE:
         k = 1
         while k < size:
-            k = 2 * k if tree[2 * k] == least else 2 * k + 1
+            k <<= 1
+            if tree[k] != least:
+                k += 1
         i = k - size
         j = after[i]
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        put(j, NONE)
-        put(i, pair_rank(i))
-        if before[i] >= 0:
-            put(before[i], pair_rank(before[i]))
+        end = after[i] = after[j]
+        if j < n - 1:
+            put(size + j, NONE)
+        if end < n:
+            before[end] = i
+            put(k, get(piece[i : after[end]], NONE))
+        else:
+            put(k, NONE)
+        if (h := before[i]) >= 0:
+            put(size + h, get(piece[h:end], NONE))
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -81,17 +86,21 @@ class Codec:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
+        self.names = {rank: str(rank) for rank in self.tokens}
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
 
     def piece(self, match: str) -> tuple[int, str, bytes]:
         """Of one match: how many ids, the ids in decimal joined by spaces, and the bytes that these decode to."""
         found = self.known.get(match)
         if found is None:
-            ids = merge(match.encode(), self.ranks)
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(match) <= CACHED_BYTES:
+            found = self.older.get(match)
+            if found is None:
+                ids = merge(match.encode(), self.ranks)
+                found = (len(ids), " ".join([self.names[i] for i in ids]), self.decode(ids))
+            if len(match) <= CACHED_CHARS:
                 if len(self.known) >= CACHE:
-                    self.known.clear()
+                    self.older, self.known = self.known, {}
                 self.known[match] = found
         return found
 
@@ -121,7 +130,8 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             for at, texts in passes(batch):
                 out = []
                 for text in texts:
-                    found = [own.piece(m) for m in own.split.findall((text or b"").decode("utf-8", "replace"))]
+                    matches = own.split.findall((text or b"").decode("utf-8", "replace"))
+                    found = [own.known.get(m) or own.piece(m) for m in matches]
                     ids, decoded = " ".join([f[1] for f in found]), b"".join([f[2] for f in found])
                     digests = (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
                     out.append((sum(f[0] for f in found), *digests, *(([int(i) for i in ids.split()], decoded.decode("utf-8", "replace")) if with_ids else ())))
