@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
 Each match of the pre-split pattern is merged on its own: leaves hold the rank of the pair that begins at a byte
-position, inner nodes the smallest rank with its leftmost position, so the next merge is read at the root, and a merge
-updates two or three leaves, each in logarithmic time. A match of n bytes costs n log n whatever it holds. Matches
+position, inner nodes the smallest rank below, so the next merge (the leftmost of least rank) is found from the root
+down, and a merge updates two or three leaves, each in logarithmic time. A match of n bytes costs n log n whatever it
+holds. Short matches of a pass that are new are merged side by side, a tree for each in one array. Matches
 repeat, so a bounded cache keeps what the latest ones encode to.
 """
 
@@ -11,7 +12,10 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import cache
+from itertools import filterfalse
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -78,6 +82,67 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Merger:
+    """The same merges for many short matches at once: row by row a segment tree, all of them updated together."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {(ranks[t[:k]] << 32) | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()] or [0], np.int64)
+        self.bytes = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int64)
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of matches that have no more than ``size`` bytes, a power of two."""
+        m, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        size = max(2, 1 << (int(sizes.max()) - 1).bit_length())
+        place = np.arange(size + 1)
+        inside = place[:size] < sizes[:, None]
+        token = np.zeros((m, size + 1), np.int64)  # the last column stands for what is beyond the ends
+        token[:, :size][inside] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.minimum(np.broadcast_to(place + 1, (m, size + 1)), sizes[:, None])
+        after[after == sizes[:, None]] = size
+        before = np.broadcast_to(place - 1, (m, size + 1)).copy()
+        before[:, 0] = size
+        tree = np.full((m, 2 * size), NONE)
+        row, at = np.nonzero(place[:size] < sizes[:, None] - 1)
+        tree[row, size + at] = self.pair_ranks(token[row, at], token[row, at + 1])
+        for k in range(size - 1, 0, -1):
+            np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1], out=tree[:, k])
+        live = np.arange(m)
+        while True:
+            live = live[tree[live, 1] < NONE]
+            if not len(live):
+                break
+            least = tree[live, 1]
+            k = np.ones(len(live), np.int64)
+            while k[0] < size:
+                k *= 2
+                k += tree[live, k] != least
+            i = k - size
+            j = after[live, i]
+            end, head = after[live, j], before[live, i]
+            after[live, i], before[live, end], token[live, i] = end, i, least
+            token[live, j], before[live, 0] = -1, size
+            leaves = np.stack([j, i, head])
+            new = np.stack([np.full(len(live), NONE), np.where(end < size, self.pair_ranks(least, token[live, end]), NONE), np.where(head < size, self.pair_ranks(token[live, head], least), NONE)])
+            leaves[2] = np.where(head < size, head, i)
+            new[2] = np.where(head < size, new[2], new[1])
+            k = leaves + size
+            tree[live, k] = new
+            while k[0, 0] > 1:
+                k >>= 1
+                tree[live, k] = np.minimum(tree[live, 2 * k], tree[live, 2 * k + 1])
+        kept = (token[:, :size] >= 0) & inside
+        flat, counts = token[:, :size][kept].tolist(), kept.sum(axis=1)
+        ends = np.cumsum(counts)
+        return [flat[b - c : b] for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
 class Codec:
     """Encoder and decoder by the ranks of a vocabulary file (base64 token and rank on each line)."""
 
@@ -87,6 +152,7 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(pattern)
         self.names = {rank: str(rank) for rank in self.tokens}
+        self.merger = Merger(self.ranks)
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.older: dict[str, tuple[int, str, bytes]] = {}
 
@@ -96,14 +162,38 @@ class Codec:
         if found is None:
             found = self.older.get(match)
             if found is None:
-                ids = merge(match.encode(), self.ranks)
-                found = (len(ids), " ".join([self.names[i] for i in ids]), self.decode(ids))
+                found = self._entry(merge(match.encode(), self.ranks))
             if len(match) <= CACHED_CHARS:
-                if len(self.known) >= CACHE:
-                    self.older, self.known = self.known, {}
-                self.known[match] = found
+                self._keep(match, found)
         return found
 
+    def learn(self, matches: set[str]) -> None:
+        """Encode at once the short ones of these matches that aren't remembered."""
+        groups: dict[int, list[str]] = {}
+        for match in matches:
+            if match not in self.known:
+                if (found := self.older.get(match)) is not None:
+                    self._keep(match, found)
+                elif len(match) <= 16:
+                    raw = match.encode()
+                    if raw in self.ranks:
+                        self.piece(match)
+                    elif len(raw) <= 32:
+                        groups.setdefault((len(raw) - 1).bit_length(), []).append(match)
+        for group in groups.values():
+            for a in range(0, len(group), 4096):
+                part = group[a : a + 4096]
+                for match, ids in zip(part, self.merger.merge([x.encode() for x in part]), strict=True):
+                    self._keep(match, self._entry(ids))
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), " ".join([self.names[i] for i in ids]), self.decode(ids)
+
+    def _keep(self, match: str, found: tuple[int, str, bytes]) -> None:
+        if len(self.known) >= CACHE:
+            self.older, self.known = self.known, {}
+        self.known[match] = found
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for m in self.split.findall(text) for i in self.piece(m)[1].split()]
 
@@ -129,12 +219,18 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
             doc_ids = batch.column("doc_id")
             for at, texts in passes(batch):
                 out = []
-                for text in texts:
-                    matches = own.split.findall((text or b"").decode("utf-8", "replace"))
-                    found = [own.known.get(m) or own.piece(m) for m in matches]
-                    ids, decoded = " ".join([f[1] for f in found]), b"".join([f[2] for f in found])
+                split = [own.split.findall((text or b"").decode("utf-8", "replace")) for text in texts]
+                new: set[str] = set()
+                for matches in split:
+                    new.update(filterfalse(own.known.__contains__, matches))
+                own.learn(new)
+                for matches in split:
+                    found = list(map(own.known.get, matches))
+                    if None in found:
+                        found = [f or own.piece(m) for f, m in zip(found, matches, strict=True)]
+                    ids, decoded = " ".join(map(itemgetter(1), found)), b"".join(map(itemgetter(2), found))
                     digests = (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    out.append((sum(f[0] for f in found), *digests, *(([int(i) for i in ids.split()], decoded.decode("utf-8", "replace")) if with_ids else ())))
+                    out.append((sum(map(itemgetter(0), found)), *digests, *(([int(i) for i in ids.split()], decoded.decode("utf-8", "replace")) if with_ids else ())))
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([doc_ids[at.start : at.stop], *[pa.array(c, t) for c, t in zip(columns, types, strict=False)]], names)
