@@ -68,29 +68,52 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "digest long, doc_id long, place long")
 
 
+def _runs(chunks: list[tuple[int, int, int]], joined) -> list[list[tuple[int, int, int]]]:
+    """Chunks (start, length, first) in runs that ``joined`` (previous, next) holds together."""
+    runs: list[list] = []
+    for chunk in chunks:
+        if runs and joined(runs[-1][-1], chunk):
+            runs[-1].append(chunk)
+        else:
+            runs.append([chunk])
+    return runs
+
+
+def _split(doc: int, chunks: list[tuple[int, int, int]], min_bytes: int):
+    """(start, end, document that has most of it first, all first documents, kept) of each passage of a document.
+
+    A passage is a run of chunks that repeat. Its parts that earlier documents have, if they are long enough, are not
+    kept; the rest is, with single chunks that an earlier document happens to share.
+    """
+    for run in _runs(chunks, lambda p, c: p[0] + p[1] == c[0]):
+        if run[-1][0] + run[-1][1] - run[0][0] < min_bytes:
+            continue
+        parts = _runs(run, lambda p, c: (p[2] < doc) == (c[2] < doc))
+        gone = [part[0][2] < doc and sum(c[1] for c in part) >= min_bytes for part in parts]
+        flat = [(c, g) for part, g in zip(parts, gone, strict=True) for c in part]
+        for same in _runs(flat, lambda p, c: p[1] == c[1]):
+            sizes: dict[int, int] = {}
+            for (_, length, first), _ in same:
+                sizes[first] = sizes.get(first, 0) + length
+            yield same[0][0][0], same[-1][0][0] + same[-1][0][1], max(sizes, key=lambda f: (sizes[f], -f)), sorted(sizes), not same[0][1]
+
+
 def _spans(min_bytes: int):
+    mask = (1 << _SHIFT) - 1
+
     def run(batches):
         for batch in batches:
             out = []
             for doc, places, firsts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "places", "firsts")), strict=True):
-                order = sorted(zip(places, firsts, strict=True))
-                run_: list = []
-                for place, first in [*order, (None, None)]:
-                    start, length = (place >> _SHIFT, place & ((1 << _SHIFT) - 1)) if place is not None else (-1, 0)
-                    if run_ and start < run_[1] and start >= 0:
-                        continue  # a repeated row of the same document
-                    if run_ and start != run_[1]:
-                        if run_[1] - run_[0] >= min_bytes:
-                            out.append((doc, run_[0], run_[1], min(run_[2]), sorted(run_[2])))
-                        run_ = []
-                    if place is not None:
-                        if not run_:
-                            run_ = [start, start, set()]
-                        run_[1] = start + length
-                        run_[2].add(first)
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start_byte", "end_byte", "first_doc_id", "first_doc_ids"])
+                chunks, end = [], 0
+                for place, first in sorted(zip(places, firsts, strict=True)):
+                    if place >> _SHIFT >= end:  # else a repeated row of the same document
+                        chunks.append((place >> _SHIFT, place & mask, first))
+                        end = (place >> _SHIFT) + (place & mask)
+                out += [(doc, *found) for found in _split(doc, chunks, min_bytes)]
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start_byte", "end_byte", "first_doc_id", "first_doc_ids", "kept"])
 
     return run
 
@@ -98,17 +121,16 @@ def _spans(min_bytes: int):
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """One row per passage that repeats across documents, its first place included.
 
-    doc_id, start_byte, end_byte (in the text's UTF-8 bytes), first_doc_id (smallest document that has part of it),
-    first_doc_ids (those of all its chunks), kept (this document is the first for all of it). Null texts and rows
-    without doc_id have none; rows of one doc_id count as one document.
+    doc_id, start_byte, end_byte (in the text's UTF-8 bytes), first_doc_id (the document that is the first to have most
+    of it), first_doc_ids (those of all its chunks), kept (no earlier document has a long part of it). What isn't kept
+    is kept in an earlier document. Null texts and rows without doc_id have none; rows of one doc_id count as one.
     """
     cut = chunks(docs)
     repeated = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     repeated = save(repeated)
     hits = save(cut.join(repeated, "digest").select("doc_id", "place", "first"))
     by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "first")).alias("h")).select("doc_id", F.col("h.place").alias("places"), F.col("h.first").alias("firsts"))
-    found = by_doc.mapInArrow(_spans(min_bytes), "doc_id long, start_byte long, end_byte long, first_doc_id long, first_doc_ids array<long>")
-    return found.withColumn("kept", (F.size("first_doc_ids") == 1) & (F.col("first_doc_id") == F.col("doc_id")))
+    return by_doc.mapInArrow(_spans(min_bytes), "doc_id long, start_byte long, end_byte long, first_doc_id long, first_doc_ids array<long>, kept boolean")
 
 
 def strip_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
