@@ -165,8 +165,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     placed = crowded.join(reached, F.col("doc") == F.col("node"), "left").select("tree", "region", "n", "doc", F.coalesce("component", "doc").alias("component"))
     counts = placed.groupBy("tree", "region", "component").agg(F.count("*").alias("m"))
-    mixed = counts.groupBy("tree", "region").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1").drop("parts")
-    mixed = placed.join(mixed, ["tree", "region"])
+    # Saved, so that the join is one of two plain exchanges and Spark can split a crowded region's partition.
+    mains = save(counts.groupBy("tree", "region").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1").drop("parts"))
+    mixed = placed.join(mains, ["tree", "region"])
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     sides = mixed.select("tree", "region", "doc", "component", F.pmod(F.hash("doc"), blocks).alias("block"), F.lit(False).alias("open")).union(
         mixed.where("component <> main").select("tree", "region", "doc", "component", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("open"))
