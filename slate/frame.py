@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slate.functions.scalar import sort_key
 from slate.operators import aggregate, joins
-from slate.operators import window as windows
+from slate.operators.rows import number_rows
 
 
 @dataclass(frozen=True)
@@ -72,10 +72,10 @@ class Frame:
         positions = [p for p in positions if p]
         if any(p < 0 for p in positions) and any(p > 0 for p in positions):
             raise ValueError("positive and negative positions can't be mixed")
-        numbered = self.df.withColumn("__rn", windows.rowid([F.lit(1)], self.order))
+        numbered = number_rows(self.df, self.order, "__rn")
         if positions and positions[0] < 0:
             return self._with(numbered.where(~F.col("__rn").isin([-p for p in positions])).drop("__rn"))
-        wanted = self.df.sparkSession.createDataFrame([(k, p) for k, p in enumerate(positions)], "__at int, __rn int")
+        wanted = self.df.sparkSession.createDataFrame([(k, p) for k, p in enumerate(positions)], "__at int, __rn long")
         return self._with(wanted.join(numbered, "__rn", "left").orderBy("__at").drop("__at", "__rn"))
 
     def head(self, n: int = 6) -> Frame:

@@ -227,20 +227,26 @@ def merge(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, all_x: bo
 
 
 def merge_list(tables: Sequence[DataFrame], on: Sequence[str], how: str = "left", mult: str = "error", order: Sequence[str] = ()) -> DataFrame:
-    """Fold of merges from the left: left, inner, full, right, semi, anti or cross."""
+    """Fold of merges from the left: left, inner, full, right, semi, anti or cross.
+
+    ``mult`` takes the first or last row of a key (all, or ``error`` if a key repeats) on the side that is looked up;
+    inner and full merges with first or last take one row of a key on both sides.
+    """
+    def single(t: DataFrame) -> DataFrame:
+        by = _turn(order) if mult == "last" else [F.col(o) for o in order] or [F.lit(1)]
+        t = t.withColumn("__rn", F.row_number().over(Window.partitionBy(*on).orderBy(*by)))
+        if mult == "error":
+            t = t.withColumn("__rn", F.when(F.col("__rn") > 1, F.raise_error(F.lit("a key repeats")).cast("int")).otherwise(1))
+        return t.where("__rn = 1").drop("__rn")
+
     def step(a: DataFrame, b: DataFrame) -> DataFrame:
         if how == "cross":
             return a.crossJoin(b)
         if how in ("semi", "anti"):
             return {"semi": semi, "anti": anti}[how](a, b, on)
         if mult != "all":
-            side = b if how != "right" else a
-            by = _turn(order) if mult == "last" else [F.col(o) for o in order] or [F.lit(1)]
-            side = side.withColumn("__rn", F.row_number().over(Window.partitionBy(*on).orderBy(*by)))
-            if mult == "error":
-                side = side.withColumn("__rn", F.when(F.col("__rn") > 1, F.raise_error(F.lit("a key repeats")).cast("int")).otherwise(1))
-            side = side.where("__rn = 1").drop("__rn")
-            a, b = (a, side) if how != "right" else (side, b)
+            both = how in ("inner", "full") and mult != "error"
+            a, b = single(a) if both or how == "right" else a, single(b) if both or how != "right" else b
         return merge(a, b, on, how in ("left", "full"), how in ("right", "full"))
 
     return reduce(step, tables)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slate.operators.rows import number_rows
+
 
 def _check(a: DataFrame, b: DataFrame) -> None:
     if a.columns != b.columns:
@@ -46,11 +48,8 @@ def bind_rows(tables: Sequence[DataFrame] | dict[str, DataFrame], use_names: boo
 
 
 def bind_columns(a: DataFrame, b: DataFrame, order_a: Sequence[Column | str], order_b: Sequence[Column | str]) -> DataFrame:
-    """Side by side, by position in each table's order. Positions are global: each side is numbered by one task."""
-    def numbered(t: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-        return t.withColumn("__rn", F.row_number().over(Window.orderBy(*order)))
-
-    return numbered(a, order_a).join(numbered(b, order_b), "__rn").drop("__rn")
+    """Side by side, by position in each table's order; runs at once. Rows beyond the shorter table's end go."""
+    return number_rows(a, order_a, "__rn").join(number_rows(b, order_b, "__rn"), "__rn").drop("__rn")
 
 
 def split(df: DataFrame, by: str, values: Sequence | None = None, most: int = 1000) -> dict[object, DataFrame]:

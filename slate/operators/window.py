@@ -73,11 +73,16 @@ def with_rleid(df: DataFrame, columns: Sequence[str], by: Sequence[str], order:
 
 
 def nafill(x: Column | str, w: WindowSpec, kind: str = "locf", fill=None, limit: int | None = None, nan_missing: bool = False) -> Column:
-    """Fill missing values from the row before (locf), the row after (nocb) or with a constant."""
+    """Fill missing values from the row before (locf), the row after (nocb) or with a constant, ``limit`` rows at most."""
     raw = col(x)
     x = F.when(~F.isnan(raw), raw) if nan_missing else raw
-    if kind == "const":
+    if kind == "const" and limit is None:
         return F.coalesce(x, lit(fill))
+    if kind == "const":
+        # Filled are the first rows of a gap: with a known value, or the first row, at most ``limit`` rows before.
+        known = F.count(x).over(w.rowsBetween(-limit, -1)) > 0 if limit > 0 else F.lit(False)
+        opening = (F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0) & (F.row_number().over(w) <= limit)
+        return F.when(x.isNull() & (known | opening), lit(fill)).otherwise(x)
     before = w.rowsBetween(Window.unboundedPreceding, 0) if kind == "locf" else w.rowsBetween(0, Window.unboundedFollowing)
     found = (F.last if kind == "locf" else F.first)(x, ignorenulls=True).over(before)
     if limit is not None:
