@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from slate.llm.common import components, mix, passes, save, shingle_sets, small_batches, splitmix
 
 TREES, DEPTH, BASE = 16, 6, 4
-#: Documents of a region that one task compares with its open ones.
+#: Documents of a region, and open ones of it, that one task compares with each other.
 BLOCK = 256
 
 _KEYS = splitmix(TREES * DEPTH, 0xF04E57)
@@ -166,15 +166,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = crowded.join(reached, F.col("doc") == F.col("node"), "left").select("tree", "region", "n", "doc", F.coalesce("component", "doc").alias("component"))
     counts = placed.groupBy("tree", "region", "component").agg(F.count("*").alias("m"))
     # Saved, so that the join is one of two plain exchanges and Spark can split a crowded region's partition.
-    mains = save(counts.groupBy("tree", "region").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where("parts > 1").drop("parts"))
+    mains = save(counts.groupBy("tree", "region").agg((F.sum("m") - F.max("m")).alias("opened"), F.max_by("component", F.struct("m", "component")).alias("main")).where("opened > 0"))
     mixed = placed.join(mains, ["tree", "region"])
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    sides = mixed.select("tree", "region", "doc", "component", F.pmod(F.hash("doc"), blocks).alias("block"), F.lit(False).alias("open")).union(
-        mixed.where("component <> main").select("tree", "region", "doc", "component", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("open"))
+    # Both sides are dealt to blocks, so that no group grows with its region.
+    blocks, turns = (F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") for n in ("n", "opened"))
+    place = ["tree", "region", "doc", "component"]
+    sides = mixed.select(*place, F.pmod(F.hash("doc"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(False).alias("open")).union(
+        mixed.where("component <> main").select(*place, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.hash("doc"), turns).alias("turn"), F.lit(True).alias("open"))
     )
     sides = save(sides)
     prints = save(fingerprints(docs, sides.select("doc").distinct(), width))
-    compared = sides.join(prints, "doc").groupBy("tree", "region", "block").applyInArrow(_compare_block(percent), "a long, b long")
+    compared = sides.join(prints, "doc").groupBy("tree", "region", "block", "turn").applyInArrow(_compare_block(percent), "a long, b long")
     second = save(confirm(compared.distinct().join(first, ["a", "b"], "left_anti"), docs, width, percent))
     if not second.isEmpty():
         reached = components(links.union(second))
