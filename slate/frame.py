@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -84,8 +84,27 @@ class Frame:
     def tail(self, n: int = 6) -> Frame:
         return self._with(self.df.orderBy(*[F.desc(c) for c in self.order]).limit(n))
 
-    def rename(self, names: dict[str, str]) -> Frame:
-        return self._with(self.df.withColumnsRenamed(names))
+    def reverse(self) -> Frame:
+        """The rows in the opposite order."""
+        return self._with(self.df.orderBy(*[F.desc(c) for c in self.order]))
+
+    def rename(self, names: dict[str, str] | Callable[[str], str], skip_absent: bool = False) -> Frame:
+        """New names by old ones, or from a function of the old name; order and key follow."""
+        if callable(names):
+            names = {c: names(c) for c in self.df.columns}
+        absent = set(names) - set(self.df.columns)
+        if absent and not skip_absent:
+            raise ValueError(f"no column {min(absent)!r}")
+        order, key = (tuple(names.get(c, c) for c in part) for part in (self.order, self.key))
+        return Frame(self.df.withColumnsRenamed(names), order, key)
+
+    def reorder(self, *columns: str, before: str | None = None, after: str | None = None) -> Frame:
+        """Columns moved to the front, or beside another column."""
+        rest = [c for c in self.df.columns if c not in columns]
+        if before is not None and after is not None:
+            raise ValueError("give before or after, not both")
+        at = rest.index(before) if before is not None else rest.index(after) + 1 if after is not None else 0
+        return self._with(self.df.select(*rest[:at], *columns, *rest[at:]))
 
     def na_omit(self, columns: Sequence[str] | None = None, invert: bool = False) -> Frame:
         from slate.functions.scalar import any_missing

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slate.functions.scalar import col, lit, sort_key
+from slate.operators.rows import number_rows
 
 
 def _gate(x: Column, out: Column) -> Column:
@@ -128,6 +129,18 @@ def duplicated(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) > 1)
 
 
+def first_duplicate(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "position") -> DataFrame:
+    """One row: the position of the first row whose ``by`` columns came before (0 if none), in a total order."""
+    numbered = number_rows(df, order, "__place")
+    again = duplicated(numbered, by, [F.col("__place")], "__again").where("__again")
+    return again.agg(F.coalesce(F.min("__place"), F.lit(0)).cast("long").alias(name))
+
+
+def each(columns: Sequence[str], f: Callable[[Column], Column], name: Callable[[str], str] = str) -> dict[str, Column]:
+    """The same function of several columns, named after them."""
+    return {name(c): f(F.col(c)) for c in columns}
+
+
 def grouping_sets(df: DataFrame, by: Sequence[str], sets: Sequence[Sequence[str]], aggs: dict[str, Column], ident: str | None = "grouping", labels: dict[str, object] | None = None) -> DataFrame:
     """One aggregate over several sets of keys, in one pass; repeated sets give repeated rows.
 

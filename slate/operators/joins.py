@@ -213,14 +213,19 @@ def overlaps(x: DataFrame, y: DataFrame, equal: Sequence[str], x_span: tuple[str
     return pairs.drop("__xid").unionByName(alone, allowMissingColumns=True)
 
 
-def merge(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, all_x: bool = False, all_y: bool = False, suffixes: tuple[str, str] = (".x", ".y"), sort: bool = False) -> DataFrame:
-    """SQL-style merge; shared names by default, clashing others get suffixes, keys come first."""
+def merge(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, all_x: bool = False, all_y: bool = False, suffixes: tuple[str, str] = (".x", ".y"), sort: bool = False, incomparables: Sequence = ()) -> DataFrame:
+    """SQL-style merge; shared names by default, clashing others get suffixes, keys come first.
+
+    Rows whose key holds one of ``incomparables`` (None: missing) match nothing.
+    """
     by = list(by) if by is not None else natural(x, y)
     how = {(False, False): "inner", (True, False): "left", (False, True): "right", (True, True): "full"}[all_x, all_y]
     clash = set(x.columns) & set(y.columns) - set(by)
     a = x.select(*[F.col(c).alias(c + suffixes[0] if c in clash else f"__x_{c}" if c in by else c) for c in x.columns])
     b = y.select(*[F.col(c).alias(c + suffixes[1] if c in clash else f"__y_{c}" if c in by else c) for c in y.columns])
-    joined = a.join(b, reduce(lambda p, q: p & q, [F.col(f"__x_{c}").eqNullSafe(F.col(f"__y_{c}")) for c in by]), how)
+    tests = [F.col(f"__x_{c}").eqNullSafe(F.col(f"__y_{c}")) for c in by]
+    tests += [~F.col(f"__x_{c}").eqNullSafe(F.lit(v)) for c in by for v in incomparables]
+    joined = a.join(b, reduce(lambda p, q: p & q, tests), how)
     keys = [F.coalesce(f"__x_{c}", f"__y_{c}").alias(c) for c in by]
     out = joined.select(*keys, *[F.col(f"`{c}`") for c in joined.columns if not c.startswith(("__x_", "__y_"))])
     return out.orderBy(*by) if sort else out

@@ -38,6 +38,37 @@ def equal(a: DataFrame, b: DataFrame) -> bool:
     return tagged.groupBy(*a.columns).agg(F.sum("__n").alias("n")).where("n <> 0").isEmpty()
 
 
+def all_equal(a: DataFrame, b: DataFrame, order: Sequence[Column | str] = (), tolerance: float = 1.5e-8, ignore_col_order: bool = False) -> str | None:
+    """None if two tables are alike, else what differs first: names, types, row counts or values.
+
+    Floating columns may differ by ``tolerance``, relative to the second table's value. Rows meet in ``order``, or
+    without it in the order of all columns, floating ones last, so that row order doesn't matter.
+    """
+    names = a.columns
+    if (sorted(names) != sorted(b.columns)) if ignore_col_order else (names != b.columns):
+        return f"columns {names} and {b.columns}"
+    types, others = dict(a.dtypes), dict(b.dtypes)
+    for n in names:
+        if types[n] != others[n]:
+            return f"type of {n}: {types[n]} and {others[n]}"
+    sizes = a.count(), b.count()
+    if sizes[0] != sizes[1]:
+        return f"{sizes[0]} and {sizes[1]} rows"
+    floats = [n for n in names if types[n] in ("float", "double")]
+    by = list(order) or sorted((n for n in names if n not in floats), key=names.index) + floats
+    left, right = (number_rows(t.select(*names), by, "__place") for t in (a, b))
+    pairs = left.join(right.withColumnsRenamed({n: f"__b_{n}" for n in names}), "__place")
+    for n in names:
+        x, y = F.col(n), F.col(f"__b_{n}")
+        same = x.eqNullSafe(y)
+        if n in floats:
+            same = same | F.coalesce(F.abs(x - y) <= F.lit(tolerance) * F.greatest(F.abs(y), F.lit(tolerance)), F.lit(False))
+        worst = pairs.where(~same).agg(F.min("__place").alias("at")).first()["at"]
+        if worst is not None:
+            return f"values of {n} from row {worst} on"
+    return None
+
+
 def bind_rows(tables: Sequence[DataFrame] | dict[str, DataFrame], use_names: bool = True, fill: bool = False, idcol: str | None = None) -> DataFrame:
     """Stack tables by name (``fill`` adds missing columns) or by position; ``idcol`` says which table a row is from."""
     named = list(tables.items()) if isinstance(tables, dict) else list(enumerate(tables, 1))

@@ -88,7 +88,13 @@ def nafill(x: Column | str, w: WindowSpec, kind: str = "locf", fill=None, limit:
     if limit is not None:
         near = w.rowsBetween(-limit, 0) if kind == "locf" else w.rowsBetween(0, limit)
         found = (F.last if kind == "locf" else F.first)(x, ignorenulls=True).over(near)
-    return F.coalesce(found, lit(fill)) if fill is not None else found
+    if fill is None:
+        return found
+    # A gap at the open end has no value to carry: its first rows (nocb: last rows) take ``fill``, ``limit`` of them at most.
+    opening = F.count(x).over(before) == 0
+    if limit is not None:
+        opening &= F.count(F.lit(1)).over(before) <= limit
+    return F.when(opening, lit(fill)).otherwise(found)
 
 
 _IDENTITY = {"mean": float("nan"), "sum": 0.0, "max": float("-inf"), "min": float("inf"), "prod": 1.0, "median": None, "var": None, "sd": None}
@@ -120,24 +126,62 @@ def froll(f: str, x: Column | str, n: int, w: WindowSpec, align: str = "right",
     return value if partial else F.when(rows == n, value).otherwise(lit(fill).cast("double"))
 
 
-def froll_adaptive(df: DataFrame, f: str, x: str, n: str, by: Sequence[str], order: Sequence[str | Column], name: str, most: int) -> DataFrame:
+def _fold_moments(p: Column) -> Column:
+    """(count, mean, sum of squared deviations) of an array, in one stable pass."""
+
+    def step(acc: Column, v: Column) -> Column:
+        k, d = acc["k"] + 1.0, v - acc["m"]
+        m = acc["m"] + d / k
+        return F.struct(k.alias("k"), m.alias("m"), (acc["s"] + d * (v - m)).alias("s"))
+
+    return F.aggregate(p, F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s")), step)
+
+
+def _fold_var(p: Column) -> Column:
+    return F.aggregate(F.array(_fold_moments(p)), F.lit(None).cast("double"), lambda _, a: F.when(a["k"] > 1, a["s"] / (a["k"] - 1)))
+
+
+def _fold_median(p: Column) -> Column:
+    ordered, k = F.array_sort(p), F.size(p)
+    return (F.get(ordered, F.floor((k - 1) / 2).cast("int")) + F.get(ordered, F.floor(k / 2).cast("int"))) / 2
+
+
+_FOLDS: dict[str, Callable[[Column], Column]] = {
+    "sum": lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b),
+    "mean": lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(p), F.lit(0)),
+    "prod": lambda p: F.aggregate(p, F.lit(1.0), lambda a, b: a * b),
+    "max": F.array_max,
+    "min": F.array_min,
+    "median": _fold_median,
+    "var": _fold_var,
+    "sd": lambda p: F.sqrt(_fold_var(p)),
+}
+
+
+def froll_adaptive(df: DataFrame, f: str, x: str, n: str, by: Sequence[str], order: Sequence[str | Column], name: str, most: int, align: str = "right", fill=None, na_rm: bool = False, partial: bool = False) -> DataFrame:
     """A window length for each row (at most ``most``): the frame of ``most`` rows is gathered and its end is folded.
 
-    Incomplete windows and windows with missing values give missing.
+    Incomplete windows give ``fill``, or are used with ``partial``; windows with missing values give missing, unless
+    ``na_rm`` leaves those out. A missing length, or one above ``most`` or below 0, gives missing.
     """
+    if align not in ("right", "left"):
+        raise ValueError("adaptive windows are aligned right or left")
     w = window(by, order)
-    gathered = F.collect_list(F.struct(F.col(x).cast("double").alias("v"))).over(w.rowsBetween(-(most - 1), 0))
+    frame = w.rowsBetween(-(most - 1), 0) if align == "right" else w.rowsBetween(0, most - 1)
+    gathered = F.collect_list(F.struct(F.col(x).cast("double").alias("v"))).over(frame)
     size = F.col(n).cast("int")
-    part = F.transform(F.slice("__w", F.greatest(F.size("__w") - size + 1, F.lit(1)), size), lambda e: e["v"])
-    folds = {
-        "sum": lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b),
-        "mean": lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b) / size,
-        "prod": lambda p: F.aggregate(p, F.lit(1.0), lambda a, b: a * b),
-        "max": F.array_max,
-        "min": F.array_min,
-    }
-    complete = (F.size("__w") >= size) & ~F.exists(part, lambda v: v.isNull()) & (size <= most)
-    return df.withColumn("__w", gathered).withColumn(name, F.when(complete, folds[f](part))).drop("__w")
+    taken = F.least(F.greatest(size, F.lit(0)), F.size("__w"))
+    start = F.size("__w") - taken + 1 if align == "right" else F.lit(1)
+    cut = F.transform(F.slice("__w", start, taken), lambda e: e["v"])
+    rows = df.withColumn("__w", gathered).withColumn("__p", cut)
+    known = F.filter("__p", lambda v: v.isNotNull())
+    value = _FOLDS[f](known)
+    if _IDENTITY[f] is not None:
+        value = F.coalesce(value, F.lit(_IDENTITY[f]))
+    if not na_rm:
+        value = F.when(~F.exists("__p", lambda v: v.isNull()), value)
+    whole = value if partial else F.when(F.size("__w") >= size, value).otherwise(lit(fill).cast("double"))
+    return rows.withColumn(name, F.when(size.between(0, most), whole)).drop("__w", "__p")
 
 
 def frolladapt(index: Column | str, n: int, by: Sequence[str | Column]) -> Column:
@@ -145,15 +189,27 @@ def frolladapt(index: Column | str, n: int, by: Sequence[str | Column]) -> Colum
     return F.count(F.lit(1)).over(Window.partitionBy(*by).orderBy(index).rangeBetween(-(n - 1), 0))
 
 
-def frollapply(df: DataFrame, f: Callable, x: Sequence[str], n: int, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Any function of the n-row window of some columns (a 2-d array); a group must fit one task's memory."""
+def frollapply(df: DataFrame, f: Callable, x: Sequence[str], n: int | str, by: Sequence[str], order: Sequence[str], name: str, align: str = "right", fill: float | None = None, partial: bool = False) -> DataFrame:
+    """Any function of the window of some columns (a 2-d array); a group must fit one task's memory.
+
+    ``n`` is a number of rows, or a column of them. Incomplete windows give ``fill``, or are used with ``partial``.
+    """
     columns = df.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` double"
 
     def run(pdf):
         pdf = pdf.sort_values(list(order), kind="stable")
         values = pdf[list(x)].to_numpy()
-        pdf[name] = [float(f(values[i - n + 1 : i + 1])) if i >= n - 1 else None for i in range(len(pdf))]
+        out = []
+        for i, size in enumerate(pdf[n] if isinstance(n, str) else [n] * len(pdf)):
+            if size != size or size is None:
+                out.append(None)
+                continue
+            size = int(size)
+            low = i - {"right": size - 1, "left": 0, "center": size - 1 - size // 2}[align]
+            whole = low >= 0 and low + size <= len(pdf)
+            out.append(float(f(values[max(low, 0) : low + size])) if whole or partial else fill)
+        pdf[name] = out
         return pdf[[*columns, name]]
 
     return df.groupBy(*by).applyInPandas(run, schema)

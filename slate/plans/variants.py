@@ -172,6 +172,17 @@ def repeated_sets(t):
     return A.grouping_sets(t("orders"), ["o_orderstatus"], [["o_orderstatus"], ["o_orderstatus"]], {"n": F.count(F.lit(1))}, ident=None)
 
 
+@query("SELECT coalesce(min(rn), 0) AS position FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS rn, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k > 1")
+def first_duplicate(t):
+    return A.first_duplicate(t("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 4) AS mean_l_quantity, round(avg(l_extendedprice), 4) AS mean_l_extendedprice, round(avg(l_discount), 4) AS mean_l_discount, round(avg(l_tax), 4) AS mean_l_tax FROM lineitem GROUP BY 1")
+def each_column(t):
+    x = t("lineitem")
+    return A.summarise(x, ["l_returnflag"], A.each(R.columns(x, "l_quantity:l_tax"), lambda v: r4(A.mean(v)), "mean_{}".format))
+
+
 # --- windows ---
 
 
@@ -207,6 +218,41 @@ def nafill_limits(t):
     return gaps.select("event_id", W.nafill("v", w, "const", 0.0, limit=1).alias("const"), W.nafill("v", w, fill=-1.0).alias("locf"), W.nafill("v", w, "nocb", limit=1).alias("nocb"))
 
 
+@query(f"""SELECT event_id, coalesce(v, CASE WHEN seen IS NULL THEN CASE WHEN rn <= 2 THEN -1.0 END WHEN rn - seen <= 2 THEN last_value(v IGNORE NULLS) {_BY_USER[:-1]} ROWS UNBOUNDED PRECEDING) END) AS locf FROM {_GAP_ROWS}""")
+def nafill_limit_opening(t):
+    gaps = t("events").select("event_id", "user_id", "ts", F.when(c("event_id") % 3 == 0, c("value")).alias("v"))
+    return gaps.select("event_id", W.nafill("v", users(), fill=-1.0, limit=2).alias("locf"))
+
+
+_SIZED = f"e AS (SELECT event_id, user_id, value, row_number() {_BY_USER} AS rn, event_id % 4 + 1 AS n, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)"
+
+
+def _sized(t) -> DataFrame:
+    return t("events").select("event_id", "user_id", "ts", "value", (c("event_id") % 4 + 1).alias("n"), F.when(c("event_id") % 3 == 0, c("value")).alias("v"))
+
+
+@query(f"""WITH {_SIZED} SELECT e.event_id, CASE WHEN e.rn >= e.n THEN round(median(b.value), 4) END AS median, CASE WHEN e.rn >= e.n THEN round(stddev_samp(b.value), 4) END AS sd, round(coalesce(sum(b.v), 0), 4) AS part
+FROM e JOIN e b ON b.user_id = e.user_id AND b.rn > e.rn - e.n AND b.rn <= e.rn GROUP BY e.event_id, e.rn, e.n""")
+def froll_adaptive_kinds(t):
+    out = W.froll_adaptive(_sized(t), "median", "value", "n", ["user_id"], ["ts"], "median", 4)
+    out = W.froll_adaptive(out, "sd", "value", "n", ["user_id"], ["ts"], "sd", 4)
+    out = W.froll_adaptive(out, "sum", "v", "n", ["user_id"], ["ts"], "part", 4, na_rm=True, partial=True)
+    return out.select("event_id", *[r4(c(k)).alias(k) for k in ("median", "sd", "part")])
+
+
+@query(f"""WITH {_SIZED} SELECT e.event_id, CASE WHEN count(*) = e.n THEN max(b.value) ELSE -1 END AS hi, CASE WHEN count(*) = e.n AND count(b.v) = e.n THEN round(avg(b.v), 4) END AS strict
+FROM e JOIN e b ON b.user_id = e.user_id AND b.rn >= e.rn AND b.rn < e.rn + e.n GROUP BY e.event_id, e.rn, e.n""")
+def froll_adaptive_left(t):
+    out = W.froll_adaptive(_sized(t), "max", "value", "n", ["user_id"], ["ts"], "hi", 4, "left", -1.0)
+    return W.froll_adaptive(out, "mean", "v", "n", ["user_id"], ["ts"], "strict", 4, "left").select("event_id", "hi", r4(c("strict")).alias("strict"))
+
+
+@query(f"WITH {_SIZED} SELECT e.event_id, round(max(b.value) - min(b.value), 4) AS span FROM e JOIN e b ON b.user_id = e.user_id AND b.rn > e.rn - e.n AND b.rn <= e.rn GROUP BY e.event_id")
+def frollapply_sized(t):
+    out = W.frollapply(_sized(t).drop("v"), lambda m: m.max() - m.min(), ["value"], "n", ["user_id"], ["ts"], "span", partial=True)
+    return out.select("event_id", r4(c("span")).alias("span"))
+
+
 _LEFT = f"{_BY_USER[:-1]} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)"
 
 
@@ -352,9 +398,25 @@ def merge_full_first(t):
     return J.merge_list([a, b], ["k"], "full", "first", ["o"]).select("k", "x", "y")
 
 
+@query("SELECT a.k, a.x, b.y FROM (SELECT nullif(n_nationkey % 5, 0) AS k, n_nationkey AS x FROM nation) a LEFT JOIN (SELECT nullif(r_regionkey, 0) AS k, r_name AS y FROM region) b ON a.k = b.k AND a.k <> 3")
+def merge_incomparables(t):
+    x = t("nation").select(F.nullif(c("n_nationkey") % 5, F.lit(0)).alias("k"), c("n_nationkey").alias("x"))
+    y = t("region").select(F.nullif(c("r_regionkey"), F.lit(0)).alias("k"), c("r_name").alias("y"))
+    return J.merge(x, y, ["k"], all_x=True, incomparables=[None, 3])
+
+
 # --- sets and shapes ---
 
 
+@query("SELECT true AS same, false AS other")
+def all_equal(t):
+    x = t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    near = x.repartition(3).withColumn("o_totalprice", c("o_totalprice") * (1 + 1e-12))
+    far = x.withColumn("o_totalprice", c("o_totalprice") + 1)
+    found = [U.all_equal(x, y) is None for y in (near, far)]
+    return x.sparkSession.createDataFrame([tuple(found)], "same boolean, other boolean")
+
+
 @query(f"({_A}) UNION ALL ({_B})")
 def set_union_all(t):
     return U.union(*_pair(t), True)
