@@ -265,11 +265,13 @@ _BACK = f"{_BY_USER[:-1]} ROWS 2 PRECEDING)"
 
 
 @query(f"""SELECT event_id, CASE WHEN n = 3 THEN round(coalesce(s, 0), 4) END AS sum, CASE WHEN n = 3 THEN coalesce(round(m, 4), 'nan'::DOUBLE) END AS mean, CASE WHEN n = 3 THEN coalesce(hi, '-inf'::DOUBLE) END AS max,
-CASE WHEN n = 3 AND k = 3 THEN round(s, 4) END AS strict, CASE WHEN n = 3 THEN round(coalesce(p, 1), 4) END AS prod FROM (SELECT event_id, count(*) {_BACK} AS n, count(v) {_BACK} AS k, sum(v) {_BACK} AS s, avg(v) {_BACK} AS m, max(v) {_BACK} AS hi, product(v) {_BACK} AS p FROM {_GAPS})""")
+CASE WHEN n = 3 AND k = 3 THEN round(s, 4) END AS strict, CASE WHEN n = 3 THEN round(coalesce(p, 1), 6) END AS prod FROM (SELECT event_id, count(*) {_BACK} AS n, count(v) {_BACK} AS k, sum(v) {_BACK} AS s, avg(v) {_BACK} AS m, max(v) {_BACK} AS hi, product(v) {_BACK} AS p FROM {_GAPS})""")
 def froll_missing(t):
     gaps = t("events").select("event_id", "user_id", "ts", F.when(c("event_id") % 3 == 0, c("value")).alias("v"))
     w = users()
-    loose = [(W.froll(f, "v", 3, w, na_rm=True) if f == "max" else r4(W.froll(f, "v", 3, w, na_rm=True))).alias(f) for f in ("sum", "mean", "max", "prod")]
+    # Three values of two decimals make products of six: rounded there, the order of the factors doesn't show.
+    places = {"sum": 4, "mean": 4, "max": 4, "prod": 6}
+    loose = [F.round(W.froll(f, "v", 3, w, na_rm=True), k).alias(f) for f, k in places.items()]
     return gaps.select("event_id", *loose, r4(W.froll("sum", "v", 3, w)).alias("strict"))
 
 
