@@ -1,12 +1,16 @@
-"""Substring dedup by content-defined chunks: a gear rolling hash sets the cuts, digests find what repeats.
-
-The gear hash is a 16-bit register, so a cut depends on the 16 bytes before it only: after an insertion the cuts
-fall into step again at once. Chunks have ``AVERAGE`` bytes on average, so a passage of 50 words holds several whole
-ones. Each chunk goes as (digest, doc_id, place) through one grouping, combined before the shuffle, which keeps the
-smallest and the largest doc_id of a digest; where they differ the chunk repeats across documents. Chunks that follow
-one another and repeat form a span; spans of ``MIN_BYTES`` or more are repeated passages. The edges of a passage
-outside its first and last whole chunk (some 60 bytes) are not in the span; the least span is set for passages of
-50 words with this in mind. The smallest doc_id keeps its copy of a chunk.
+"""Substring dedup by content-defined chunks of words: a rolling hash sets where chunks begin, digests find what repeats.
+
+A passage is a run of ``WORDS`` or more whole words that another document has too, whatever white space is between them.
+A window of ``WORDS`` words has one seed, the smallest rolling hash of ``SEED`` words in a row within it, so equal windows have
+equal seeds wherever they stand. Neighbouring windows of one seed form a chunk, some 13 windows long. Three steps, each
+grouped by digest and combined before the shuffle, decide without error but for equal 64-bit digests:
+
+1. A seed that one document has alone ends here. If all documents with a seed have one and the same chunk, it repeats.
+2. Of the other chunks, those that an earlier document has whole repeat there.
+3. Chunks that no earlier document has whole, but whose seed has others, are opened: each of their windows is compared.
+
+So a passage reaches to its first and last word, and every window of it stands whole in one other document. The smallest
+doc_id that has a window keeps it.
 """
 
 from __future__ import annotations
@@ -16,124 +20,159 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slate.llm.common import Texts, passes, range_hashes, save, small_batches, splitmix
+from slate.llm.common import NOT_SPACE, Texts, passes, range_hashes, save, sequence_hashes, small_batches, splitmix
 
-AVERAGE, MIN_BYTES = 24, 150
-WINDOW = 16
-_GEAR = (splitmix(256, 0x6EA4) & np.uint64(0xFFFF)).astype(np.uint16)
+WORDS, SEED = 51, 26  # over 50 words; a window holds as many seeds as a seed holds words
+LONG = 150
+_SIGN = (splitmix(256, 0x6EA4) & np.uint64(0xFFFF)).astype(np.int64)
 _SHIFT = 31  # place = start << 31 | length
 
 
-def cuts(buf: np.ndarray) -> np.ndarray:
-    """Where ``buf`` is cut: the gear hash of the bytes before is small, and not the same as one byte earlier."""
-    gear = _GEAR[buf]
-    rolled = gear.copy()
-    for k in range(1, WINDOW):
-        rolled[k:] += gear[:-k] << np.uint16(k) if len(gear) > k else gear[:0]
-    small = rolled < 0x10000 // AVERAGE
-    small[1:] &= rolled[1:] != rolled[:-1]
-    return np.flatnonzero(small) + 1
-
+def words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a pass, and for each text where its first word is in them.
 
-def _chunk_pass(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the texts of a pass: digest, text number, start in its text, length of every chunk."""
+    Words are runs of anything but white space; each ideograph and kana is one. Runs of over ``LONG`` bytes without white
+    space are parted by the characters in them, every three bytes or so.
+    """
+    starts, ends, _ = t.words(NOT_SPACE)
+    buf, inner = t.buf, np.zeros(len(t.buf) + 3, bool)
+    lead = np.flatnonzero((buf >= 0xE3) & (buf <= 0xE9))  # three bytes each
+    inner[lead] = inner[lead + 3] = True
+    for k in np.flatnonzero(ends - starts > LONG):
+        a, b = starts[k] + 4, ends[k]
+        one, two, three, four = (buf[a - i : b - i] for i in (1, 2, 3, 4))
+        parted = ((_SIGN[one] + 3 * _SIGN[two] // 2) % 3 == 0) | ((one == three) & (two == four))
+        inner[a:b] |= parted & (buf[a:b] & 0xC0 != 0x80)
+    inner = inner[: len(buf)] & NOT_SPACE[buf]
+    inner[starts] = False
+    cuts = np.flatnonzero(inner)
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.append(np.searchsorted(starts, t.starts), len(starts))
+
+
+def _chunk_pass(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """Of the texts of a pass: seed, digest, text number, start in its text, length of every chunk."""
     t = Texts([x or b"" for x in texts])
-    if not len(t.buf):
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    own = []
-    for a, b in zip(t.starts, t.ends, strict=True):  # the register starts anew with each text
-        inner = cuts(t.buf[a:b]) + a
-        own.append(np.concatenate([[a], inner[inner < b]]) if b > a else inner)
-    starts = np.concatenate(own).astype(np.int64)
-    numbers = np.repeat(np.arange(t.n), [len(x) for x in own])
-    ends = np.append(starts[1:], len(t.buf))
-    return range_hashes(t.buf, starts, ends), numbers, starts - t.starts[numbers], ends - starts
+    starts, ends, first = words(t)
+    if len(starts) < WORDS:
+        return (*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3)
+    hashes = range_hashes(t.buf, starts, ends)
+    at = np.arange(len(starts) - SEED + 1)
+    seeds = sequence_hashes(hashes, at, at + SEED)
+    for far in (1, 2, 4, 8, SEED - 16):  # the smallest of SEED neighbours
+        seeds = np.minimum(seeds[:-far], seeds[far:])
+    number = np.repeat(np.arange(t.n), np.diff(first))
+    whole = number[: len(seeds)] == number[WORDS - 1 :]
+    same = whole[1:] & whole[:-1] & (seeds[1:] == seeds[:-1])
+    begin = np.flatnonzero(whole & ~np.concatenate([[False], same]))
+    last = np.flatnonzero(whole & ~np.concatenate([same, [False]])) + WORDS
+    return seeds[begin], sequence_hashes(hashes, begin, last), number[begin], starts[begin] - t.starts[number[begin]], ends[last - 1] - starts[begin]
+
+
+def _rows(*columns: np.ndarray, names: list[str]):
+    for i in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].view(np.int64)) for c in columns], names)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's digest, which tells rows of one doc_id apart."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
+    return rows.withColumn("text_id", F.xxhash64("text"))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, place) of every chunk of every text; place holds start and length in bytes."""
+def chunks(keyed: DataFrame) -> DataFrame:
+    """(seed, digest, doc_id, text_id, place) of every chunk of every text; place holds start and length in bytes."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, text_ids = (np.array(batch.column(c), np.int64) for c in ("doc_id", "text_id"))
             for at, texts in passes(batch):
-                digest, number, start, length = _chunk_pass(texts)
-                own = np.array(ids[at.start : at.stop], np.int64)[number]
-                for i in range(0, len(own), 100_000):
-                    j = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[j].view(np.int64)), pa.array(own[j]), pa.array((start[j] << _SHIFT) | length[j])], ["digest", "doc_id", "place"])
+                seed, digest, number, start, length = _chunk_pass(texts)
+                yield from _rows(seed, digest, ids[at][number], text_ids[at][number], (start << _SHIFT) | length, names=["seed", "digest", "doc_id", "text_id", "place"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "digest long, doc_id long, place long")
+    small_batches(keyed.sparkSession)
+    return keyed.mapInArrow(run, "seed long, digest long, doc_id long, text_id long, place long")
 
 
-def _runs(chunks: list[tuple[int, int, int]], joined) -> list[list[tuple[int, int, int]]]:
-    """Chunks (start, length, first) in runs that ``joined`` (previous, next) holds together."""
-    runs: list[list] = []
-    for chunk in chunks:
-        if runs and joined(runs[-1][-1], chunk):
-            runs[-1].append(chunk)
-        else:
-            runs.append([chunk])
-    return runs
-
-
-def _split(doc: int, chunks: list[tuple[int, int, int]], min_bytes: int):
-    """(start, end, document that has most of it first, all first documents, kept) of each passage of a document.
-
-    A passage is a run of chunks that repeat. Its parts that earlier documents have, if they are long enough, are not
-    kept; the rest is, with single chunks that an earlier document happens to share.
-    """
-    for run in _runs(chunks, lambda p, c: p[0] + p[1] == c[0]):
-        if run[-1][0] + run[-1][1] - run[0][0] < min_bytes:
-            continue
-        parts = _runs(run, lambda p, c: (p[2] < doc) == (c[2] < doc))
-        gone = [part[0][2] < doc and sum(c[1] for c in part) >= min_bytes for part in parts]
-        flat = [(c, g) for part, g in zip(parts, gone, strict=True) for c in part]
-        for same in _runs(flat, lambda p, c: p[1] == c[1]):
-            sizes: dict[int, int] = {}
-            for (_, length, first), _ in same:
-                sizes[first] = sizes.get(first, 0) + length
-            yield same[0][0][0], same[-1][0][0] + same[-1][0][1], max(sizes, key=lambda f: (sizes[f], -f)), sorted(sizes), not same[0][1]
-
-
-def _spans(min_bytes: int):
+def _windows(opened: DataFrame) -> DataFrame:
+    """(digest, doc_id, text_id, place) of every window of the chunks at ``places``."""
     mask = (1 << _SHIFT) - 1
 
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, places, firsts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "places", "firsts")), strict=True):
-                chunks, end = [], 0
-                for place, first in sorted(zip(places, firsts, strict=True)):
-                    if place >> _SHIFT >= end:  # else a repeated row of the same document
-                        chunks.append((place >> _SHIFT, place & mask, first))
-                        end = (place >> _SHIFT) + (place & mask)
-                out += [(doc, *found) for found in _split(doc, chunks, min_bytes)]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start_byte", "end_byte", "first_doc_id", "first_doc_ids", "kept"])
-
-    return run
-
-
-def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+            ids, text_ids, places = batch.column("doc_id"), batch.column("text_id"), batch.column("places")
+            for at, texts in passes(batch):
+                t = Texts([x or b"" for x in texts])
+                starts, ends, _ = words(t)
+                hashes = range_hashes(t.buf, starts, ends)
+                for k in range(t.n):
+                    place = np.array(places[at.start + k].as_py(), np.int64)
+                    a, b = np.searchsorted(starts, t.starts[k] + (place >> _SHIFT)), np.searchsorted(ends, t.starts[k] + (place >> _SHIFT) + (place & mask))
+                    n = b + 1 - a - (WORDS - 1)
+                    i = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    own = (starts[i] - t.starts[k] << _SHIFT) | (ends[i + WORDS - 1] - starts[i])
+                    doc, text = (np.full(len(i), c[at.start + k].as_py(), np.int64) for c in (ids, text_ids))
+                    yield from _rows(sequence_hashes(hashes, i, i + WORDS), doc, text, own, names=["digest", "doc_id", "text_id", "place"])
+
+    return opened.mapInArrow(run, "digest long, doc_id long, text_id long, place long")
+
+
+def _merged(found: list[tuple[int, int, int]]):
+    """(start, end, document that has most of it first, all first documents) of each row of overlapping (start, end, first)."""
+    start = end = 0
+    sizes: dict[int, int] = {}
+    for a, b, first in [*sorted(found), (1 << 62, 1 << 62, 0)]:
+        if a >= end:
+            if sizes:
+                yield start, end, max(sizes, key=lambda f: (sizes[f], -f)), sorted(sizes)
+            start, end, sizes = a, a, {}
+        sizes[first] = sizes.get(first, 0) + max(0, b - end)
+        end = max(end, b)
+
+
+def _spans(batches):
+    mask = (1 << _SHIFT) - 1
+    for batch in batches:
+        out = []
+        for doc, text, places, firsts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "places", "firsts")), strict=True):
+            found = [(p >> _SHIFT, (p >> _SHIFT) + (p & mask), f) for p, f in zip(places, firsts, strict=True)]
+            for kept in (False, True):
+                out += [(doc, text, *span, kept) for span in _merged([x for x in found if (x[2] == doc) == kept])]
+        columns = list(zip(*out, strict=True)) or [[]] * 7
+        types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "text_id", "start_byte", "end_byte", "first_doc_id", "first_doc_ids", "kept"])
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """The rows of ``repeated_spans``, with text_id."""
+    keyed, key = _keyed(docs), ["doc_id", "text_id"]
+    ends = F.min("doc_id").alias("first"), F.max("doc_id").alias("last")
+    cut = save(chunks(keyed))
+    seeds = save(cut.groupBy("seed").agg(*ends, (F.min("digest") < F.max("digest")).alias("mixed")).where("first < last").drop("last"))
+    hits = save(cut.join(seeds, "seed").drop("seed"))
+    mixed = hits.where("mixed").drop("first", "mixed")
+    whole = save(mixed.join(save(mixed.groupBy("digest").agg(*ends)), "digest").drop("digest"))
+    places = whole.where("first = doc_id").groupBy(*key).agg(F.collect_set("place").alias("places"))
+    windows = save(_windows(keyed.join(places, key)))
+    parts = windows.join(save(windows.groupBy("digest").agg(*ends).where("first < last").drop("last")), "digest")
+    columns = [*key, "place", "first"]
+    found = hits.where("not mixed").select(columns).union(whole.where("first < last").select(columns)).union(parts.select(columns))
+    by_doc = found.groupBy(*key).agg(F.collect_set(F.struct("place", "first")).alias("h")).select(*key, F.col("h.place").alias("places"), F.col("h.first").alias("firsts"))
+    return by_doc.mapInArrow(_spans, "doc_id long, text_id long, start_byte long, end_byte long, first_doc_id long, first_doc_ids array<long>, kept boolean")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per passage that repeats across documents, its first place included.
 
     doc_id, start_byte, end_byte (in the text's UTF-8 bytes), first_doc_id (the document that is the first to have most
-    of it), first_doc_ids (those of all its chunks), kept (no earlier document has a long part of it). What isn't kept
-    is kept in an earlier document. Null texts and rows without doc_id have none; rows of one doc_id count as one.
+    of it), first_doc_ids (those of all its windows), kept (no earlier document has it). What isn't kept is kept in an
+    earlier document. Passages that overlap are one row, but kept and other ones are apart and may overlap. Null texts and
+    rows without doc_id have none; a passage in two rows of one doc_id alone doesn't repeat.
     """
-    cut = chunks(docs)
-    repeated = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    repeated = save(repeated)
-    hits = save(cut.join(repeated, "digest").select("doc_id", "place", "first"))
-    by_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("place", "first")).alias("h")).select("doc_id", F.col("h.place").alias("places"), F.col("h.first").alias("firsts"))
-    return by_doc.mapInArrow(_spans(min_bytes), "doc_id long, start_byte long, end_byte long, first_doc_id long, first_doc_ids array<long>, kept boolean")
+    return _found(docs).drop("text_id")
 
 
-def strip_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of every document but the first that has them.
 
     A document that is left without any word goes. Cuts never part a UTF-8 character.
@@ -161,6 +200,6 @@ def strip_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             yield out.select(columns).filter(kept)
 
     columns = docs.columns
-    spans = repeated_spans(docs, min_bytes).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans")).withColumnRenamed("doc_id", "__doc_id")
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("__doc_id"), "left").drop("__doc_id")
+    spans = _found(docs).where("not kept").groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__text_id")).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans"))
+    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text_id")), "left").drop("__doc_id", "__text_id")
     return joined.mapInArrow(run, docs.schema)

@@ -58,11 +58,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte range of ``buf``; equal bytes give equal hashes wherever they stand."""
+    return sequence_hashes(_BYTES[buf], starts, ends)
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each range of hashed ``values``; equal ranges give equal hashes wherever they stand."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTES[buf] * down[: len(buf)], out=sums[1:], dtype=np.uint64)
+    up, down = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * down[: len(values)], out=sums[1:], dtype=np.uint64)
     return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
 
 

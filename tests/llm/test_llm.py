@@ -325,6 +325,54 @@ def test_repeats_edges(spark):
     assert cdc.strip_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_of_short_words(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts, edges = {}, {}
+    for k in range(60):
+        shared = " ".join(word(1 + k % 4) for _ in range(51 if k % 3 else 50))
+        for i in (2 * k, 2 * k + 1):
+            before = " ".join(word(5) for _ in range(rng.randint(1, 40)))
+            texts[i] = f"{before} {shared} " + " ".join(word(5) for _ in range(rng.randint(1, 40)))
+            edges[i] = (len(before) + 1, len(before) + 1 + len(shared), 2 * k, [2 * k], i % 2 == 0)
+    df = table(spark, list(texts.items()))
+    assert {r.doc_id: tuple(r)[1:] for r in cdc.repeated_spans(df).collect()} == {i: e for i, e in edges.items() if i // 2 % 3}
+    left = texts_of(cdc.strip_repeats(df))
+    assert all(left[i] == (texts[i] if kept or i // 2 % 3 == 0 else texts[i][:a] + " " + texts[i][b:]) for i, (a, b, _, _, kept) in edges.items())
+
+
+def test_repeats_equal_brute_force(spark, docs):
+    texts, having, windows = texts_of(docs), collections.defaultdict(set), {}
+    for i, t in texts.items():
+        w = list(re.finditer(rb"[^\x20\x09-\x0D]+", t.encode()))
+        assert max((m.end() - m.start() for m in w), default=0) <= cdc.LONG
+        windows[i] = [(w[k].start(), w[k + 50].end(), tuple(m[0] for m in w[k : k + 51])) for k in range(len(w) - 50)]
+        for *_, x in windows[i]:
+            having[x].add(i)
+    expected, got = collections.defaultdict(set), collections.defaultdict(set)
+    for i, own in windows.items():
+        for a, b, x in own:
+            if min(having[x]) < i or len(having[x]) > 1:
+                expected[i, min(having[x]) == i] |= set(range(a, b))
+    for r in cdc.repeated_spans(docs).collect():
+        got[r.doc_id, r.kept] |= set(range(r.start_byte, r.end_byte))
+    assert expected and got == expected
+
+
+def test_repeats_without_spaces(spark):
+    rng = random.Random(6)
+    signs = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    shared, texts = signs(51), {}
+    for i in (1, 2):
+        texts[i] = signs(90) + shared + signs(90)
+    texts |= {3: signs(90) + shared[:50] + signs(90), 4: "same id, other text", 5: "p"}
+    rows = [*texts.items(), (2, " ".join(f"own{k}" for k in range(200)))]
+    spans = cdc.repeated_spans(table(spark, rows)).collect()
+    assert [tuple(r) for r in sorted(spans)] == [(1, 270, 423, 1, [1], True), (2, 270, 423, 1, [1], False)]
+    left = [r.text for r in cdc.strip_repeats(table(spark, rows)).where("doc_id = 2").collect()]
+    assert sorted(left) == sorted([texts[2][:90] + " " + texts[2][141:], rows[-1][1]])
+
+
 # --- pipeline ---
 
 
