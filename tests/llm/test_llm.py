@@ -373,6 +373,16 @@ def test_repeats_without_spaces(spark):
     assert sorted(left) == sorted([texts[2][:90] + " " + texts[2][141:], rows[-1][1]])
 
 
+def test_repeats_are_of_one_document(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(6))
+    own = [word() for _ in range(300)]
+    texts = {k: " ".join([*(word() for _ in range(30)), *own[6 * k : 6 * k + 20], *(word() for _ in range(30))]) for k in range(47)}
+    df = table(spark, [*texts.items(), (100, " ".join(own))])  # each 20 words of document 100 in another document
+    assert cdc.repeated_spans(df).count() == 0
+    assert texts_of(cdc.strip_repeats(df)) == texts | {100: " ".join(own)}
+
+
 # --- pipeline ---
 
 
