@@ -1,4 +1,4 @@
-"""CSV in and out: the first lines are looked at on the driver, the file is read by Spark with an explicit schema."""
+"""CSV in and out: the first lines tell separator and header, all lines tell width and types; Spark reads the file with an explicit schema."""
 
 from __future__ import annotations
 
@@ -13,6 +13,14 @@ from pyspark.sql import types as T
 
 SEPARATORS = ",\t|;:"
 SPECIAL = {"#DIV/0!": "NaN", "#NUM!": "NaN", "#VALUE!": "NaN", "1.#INF": "Infinity", "-1.#INF": "-Infinity"}
+KINDS = (
+    ("boolean", r"(?i:true|false)"),
+    ("int", r"[+-]?\d{1,9}"),
+    ("bigint", r"[+-]?\d{1,18}"),
+    ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(Inf(inity)?|inf)|NaN|" + "|".join(map(re.escape, SPECIAL))),
+    ("date", r"\d{4}-\d\d-\d\d"),
+    ("timestamp_ntz", r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?Z?"),
+)
 
 
 @dataclass
@@ -33,23 +41,15 @@ def _fields(line: str, sep: str) -> list[str]:
 def kind(values: Sequence[str], na: Sequence[str] = ("NA", ""), keep_zeros: bool = False) -> str:
     """The narrowest type that fits all values."""
     known = [v.strip() for v in values if v.strip() not in na]
-    tests = (
-        ("boolean", r"(?i)true|false"),
-        ("int", r"[+-]?\d{1,9}"),
-        ("bigint", r"[+-]?\d{1,18}"),
-        ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(Inf(inity)?|inf)|NaN"),
-        ("date", r"\d{4}-\d\d-\d\d"),
-        ("timestamp_ntz", r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?Z?"),
-    )
     if not known:
         return "string"
     if keep_zeros and any(re.fullmatch(r"[+-]?0\d+", v) for v in known):
         return "string"
-    return next((name for name, pattern in tests if all(re.fullmatch(pattern, v) for v in known)), "string")
+    return next((name for name, pattern in KINDS if all(re.fullmatch(pattern, v) for v in known)), "string")
 
 
 def sniff(spark: SparkSession, path: str, lines: int = 100, na: Sequence[str] = ("NA", ""), keep_zeros: bool = False, sep: str | None = None, header: bool | None = None, skip: int | str = 0, comment: str | None = None) -> Sniffed:
-    """Separator, header, names and types from the first lines only."""
+    """Separator, header, names and types from the first lines only; ``read_csv`` looks at the others."""
     rows = [r.value for r in spark.read.text(path).limit(lines + (skip if isinstance(skip, int) else 0)).collect()]
     rows = [r.lstrip("\ufeff") if k == 0 else r for k, r in enumerate(rows)]
     if isinstance(skip, str):
@@ -61,21 +61,59 @@ def sniff(spark: SparkSession, path: str, lines: int = 100, na: Sequence[str] =
         counts = {s: Counter(len(_fields(r, s)) for r in rows) for s in SEPARATORS}
         sep = max(SEPARATORS, key=lambda s: (max((n for k, n in counts[s].items() if k > 1), default=0), max(counts[s])))
     split = [_fields(r, sep) for r in rows]
-    width = Counter(map(len, split[1:] or split)).most_common(1)[0][0]
+    common = Counter(map(len, split[1:] or split)).most_common(1)[0][0]
+    width = max(map(len, split))
     body = [[r[k] if k < len(r) else "" for k in range(width)] for r in split]
     below = [kind([r[k] for r in body[1:]], na, keep_zeros) for k in range(width)]
     if header is None:
-        header = len(body) > 1 and all(v and kind([v]) == "string" for v in body[0]) and (any(t != "string" for t in below) or len(set(body[0])) == width)
-    names = body[0] if header else [f"V{k + 1}" for k in range(width)]
+        header = len(body) > 1 and all(v and kind([v]) == "string" for v in body[0][:common]) and (any(t != "string" for t in below) or len(set(body[0][:common])) == common)
+    names = _widened(split[0] if header else [], width)
     types = below if header else [kind([r[k] for r in body], na, keep_zeros) for k in range(width)]
     return Sniffed(sep, header, names, types, skip)
 
 
+def _widened(names: Sequence[str], width: int) -> list[str]:
+    """``names`` and, up to ``width``, V and the column's number, or the next number that is free."""
+    out = list(names)
+    while len(out) < width:
+        out.append(next(n for n in (f"V{k}" for k in range(len(out) + 1, 2 * width + 2)) if n not in out))
+    return out
+
+
+def _width(line: Column, sep: str) -> Column:
+    """Fields of a record."""
+    s = re.escape(sep)
+    fields = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(rf'{s}(?: *"[^"]*+(?:""[^"]*+)*+"[^{s}]*|[^{s}]*)'), F.lit(0))
+    return F.size(fields)
+
+
+def _kinds(raw: DataFrame, names: Sequence[str], na: Sequence[str], keep_zeros: bool, dec: str, logical01: bool, integer64: str) -> dict[str, str]:
+    """The narrowest type of each column that loses no value of any row, by one aggregate."""
+    tests = [("logical01", "[01]")] * logical01 + list(KINDS)
+    sums = []
+    for i, n in enumerate(names):
+        c = F.btrim(F.col(f"`{n}`"), F.lit(" \t\n\r\f\v"))
+        known = c.isNotNull() & ~c.isin(list(na))
+        sums += [F.count_if(known).alias(f"n{i}"), F.count_if(known & c.rlike(r"^[+-]?0\d+\z")).alias(f"z{i}")]
+        for k, (name, pattern) in enumerate(tests):
+            fits = c.rlike(rf"^(?:{pattern})\z") & _cast(F.col(f"`{n}`"), name, na, dec, False, integer64).isNotNull()
+            sums.append(F.count_if(known & ~fits).alias(f"k{i}_{k}"))
+    if not sums:
+        return {}
+    row = raw.agg(*sums).first()
+    out = {}
+    for i, n in enumerate(names):
+        settled = not row[f"n{i}"] or (keep_zeros and row[f"z{i}"])
+        out[n] = "string" if settled else next((name for k, (name, _) in enumerate(tests) if not row[f"k{i}_{k}"]), "string")
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, select: Sequence[str] | None = None, drop: Sequence[str] = (), types: dict[str, str] | None = None, na: Sequence[str] = ("NA", ""), dec: str = ".", logical01: bool = False, integer64: str = "bigint", nrows: int | None = None, csvy: bool = False, **kw) -> DataFrame:
-    """Read with sniffed names and types. Values are read as text and cast, so all ``na`` tokens and special numbers hold.
+    """Read with sniffed names and the types and width that hold all rows. Values are read as text and cast, so all ``na`` tokens and special numbers hold.
 
-    Values that don't fit a sniffed type are missing; give ``types`` to widen. ``csvy`` takes names and types from a
-    YAML head between ``---`` lines. A multi-line quoted field needs ``multiline=True``.
+    The file is read once for its width and once for the types of columns that ``types`` doesn't give; only values that don't
+    fit a type of ``types`` are missing. ``csvy`` takes names and types from a YAML head between ``---`` lines. A multi-line
+    quoted field needs ``multiline=True``.
     """
     multiline = kw.pop("multiline", False)
     head = _yaml_head(spark, path) if csvy else None
@@ -86,22 +124,33 @@ def read_csv(spark: SparkSession, path: str, select: Sequence[str] | None = None
     s = sniff(spark, path, na=na, **kw)
     if len(set(s.names)) < len(s.names):
         raise ValueError("column names repeat")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in s.names])
-    reader = spark.read.schema(schema).option("sep", s.sep).option("quote", '"').option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE").option("ignoreTrailingWhiteSpace", True).option("ignoreLeadingWhiteSpace", True)
+    options = {"sep": s.sep, "quote": '"', "escape": '"', "multiLine": multiline, "mode": "PERMISSIVE", "ignoreTrailingWhiteSpace": True, "ignoreLeadingWhiteSpace": True}
     if kw.get("comment"):
-        reader = reader.option("comment", kw["comment"])
+        options["comment"] = kw["comment"]
     if s.skip:
         lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
         kept = lines.where(F.col("__at") >= s.skip + s.header)  # a head is in the first split, whose ids count lines
-        raw = kept.select(F.from_csv("value", F.lit(schema.simpleString()[7:-1].replace(":", " ")), {"sep": s.sep}).alias("r")).select("r.*")
+        width = kept.agg(F.max(_width(F.col("value"), s.sep))).first()[0]
+    else:
+        reader = spark.read.options(**options).option("header", s.header)
+        odd = reader.schema(_strings([*s.names, "__odd"])).option("columnNameOfCorruptRecord", "__odd").csv(path)
+        width = odd.agg(F.max(_width(F.col("__odd"), s.sep)), *[F.count(F.col(f"`{n}`")) for n in s.names]).first()[0] if s.names else 0  # with a column left out, Spark doesn't count fields
+    every = _widened(s.names, width or 0)
+    schema = _strings(every)
+    if s.skip:
+        raw = kept.select(F.from_csv("value", F.lit(", ".join(f"`{n.replace('`', '``')}` string" for n in every)), {"sep": s.sep}).alias("r")).select("r.*")
     else:
-        raw = reader.option("header", s.header).csv(path)
-    wanted = dict(zip(s.names, s.types, strict=True)) | (types or {})
-    names = [n for n in (select or s.names) if n not in drop]
-    out = raw.select(*[_cast(F.col(f"`{n}`"), wanted[n], na, dec, logical01, integer64).alias(n) for n in names])
+        raw = reader.schema(schema).csv(path)
+    names = [n for n in (select or every) if n not in drop]
+    wanted = _kinds(raw, [n for n in names if n not in (types or {})], na, kw.get("keep_zeros", False), dec, logical01, integer64) | (types or {})
+    out = raw.select(*[_cast(F.col(f"`{n}`"), wanted[n], na, dec, logical01 and n in (types or {}), integer64).alias(n) for n in names])
     return out.limit(nrows) if nrows is not None else out
 
 
+def _strings(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
 def _cast(c: Column, to: str, na: Sequence[str], dec: str, logical01: bool, integer64: str) -> Column:
     c = F.when(~c.isin(list(na)), c)
     if to == "double":
@@ -112,7 +161,7 @@ def _cast(c: Column, to: str, na: Sequence[str], dec: str, logical01: bool, inte
         to = integer64
     if to == "timestamp_ntz":
         return F.try_to_timestamp(F.regexp_replace(c, "Z$", "")).cast("timestamp_ntz")
-    if to == "int" and logical01:
+    if to == "logical01" or (to == "int" and logical01):
         return F.when(c.isin("0", "1"), c == "1")
     return c if to == "string" else c.try_cast(to)
 

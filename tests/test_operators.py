@@ -166,3 +166,21 @@ def test_csv(spark, tmp_path):
     head.write_text("---\nschema:\n  fields:\n  - name: a\n    type: string\n  - name: b\n    type: integer\n---\na,b\n1,2\n")
     assert csv.read_csv(spark, str(head), csvy=True, header=True).dtypes == [("a", "string"), ("b", "int")]
     assert [tuple(r) for r in csv.read_csv(spark, str(head), csvy=True, header=True).collect()] == [("1", 2)]
+
+
+def test_csv_types_hold_every_row(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    head = [f"{k},{k},{k},2024-01-01,true,,{k},{k % 2},{k}" for k in range(300)]
+    late = ['5000000000,1.5,"word, two",2024-13-45,no,7,#NUM!,1,3,extra', "1,2,3,2024-01-02,false,,4,0,2,,last"]
+    path.write_text("\n".join(["id,x,t,d,b,e,n,f,g", *head, *late]) + "\n")
+    df = csv.read_csv(spark, str(path), logical01=True)
+    kinds = ["bigint", "double", "string", "string", "string", "int", "double", "boolean", "int", "string", "string"]
+    assert df.dtypes == list(zip(["id", "x", "t", "d", "b", "e", "n", "f", "g", "V10", "V11"], kinds, strict=True))
+    got = {tuple(map(str, r)) for r in df.where("id = 5000000000 or V11 = 'last'").collect()}
+    assert got == {("5000000000", "1.5", "word, two", "2024-13-45", "no", "7", "nan", "True", "3", "extra", "None"), ("1", "2.0", "3", "2024-01-02", "false", "None", "4.0", "False", "2", "None", "last")}
+    assert df.count() == 302 and df.where("t is null or d is null or b is null").count() == 0
+    headed = tmp_path / "headed.csv"
+    headed.write_text("a note\na,b\n" + "1,2\n" * 200 + '1.5,"x,y",z\n')
+    df = csv.read_csv(spark, str(headed), skip=1, header=True)
+    assert df.dtypes == [("a", "double"), ("b", "string"), ("V3", "string")] and [tuple(r) for r in df.where("V3 is not null").collect()] == [(1.5, "x,y", "z")]
+    assert csv.read_csv(spark, str(path), types={"id": "int"}).where("id is null").count() == 1
