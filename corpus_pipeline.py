@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slate.llm import bpe, cdc, langid, minhash_forest, mixing
 from slate.llm.common import save
 from slate.llm.queries import MIX_TARGETS, domains
+from slate.operators.rows import number_rows
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +20,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays, in one row."""
-    found = minhash_forest.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else kept
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the row of the smallest doc_id stays.
+
+    Rows without doc_id stay. Where a doc_id repeats, rows are compared each on its own, in the order of doc_id and text
+    digest, so that other texts of the id stay.
+    """
+    known, node = docs.where("doc_id is not null"), F.col("doc_id")
+    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        known, node = number_rows(known, ["doc_id", F.xxhash64("text"), "text"], "__node"), F.col("__node")
+    found = minhash_forest.near_duplicates(known.select(node.alias("doc_id"), "text"), width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id"))
+    kept = known.join(found, node == F.col("__id"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -386,6 +386,21 @@ def test_repeats_are_of_one_document(spark):
 # --- pipeline ---
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(2)
+    a, b, c, d = passages(rng, 4)
+    rows = [(None, a), (None, a), (None, b), (5, a), (5, b), (5, b), (5, None), (7, a + " more"), (7, c), (9, d), (9, d + " more"), (11, c), (12, "")]
+    out = [(r.doc_id, r.text) for r in C.drop_near_duplicates(spark, table(spark, rows), SF).collect()]
+    ours = [(i, t) for i, t in out if i != 9]
+    assert collections.Counter(ours) == collections.Counter([(None, a), (None, a), (None, b), (5, a), (5, b), (5, None), (7, c), (12, "")])
+    assert [t for i, t in out if i == 9] in ([d], [d + " more"])
+    single = [(None, a), (1, a), (2, a), (3, b)]
+    out = C.drop_near_duplicates(spark, table(spark, single), SF)
+    assert out.columns == table(spark, single).columns and collections.Counter((r.doc_id, r.text) for r in out.collect()) == collections.Counter([(None, a), (1, a), (3, b)])
+
+
 def test_pipeline(spark):
     import corpus_pipeline as C
 
