@@ -41,7 +41,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its rate asks for, so that domains get their target shares of tokens.
 
-    The total is set so that good and plain documents need not shrink.
+    Documents that are most likely good or plain are never dropped: the total is set so that their rates are 1 at least.
     """
     return mixing.apply_mix(docs, domains(spark, sf_dir), MIX_TARGETS, whole=("good", "plain"))
 

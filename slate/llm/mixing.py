@@ -1,7 +1,7 @@
 """Mixing sources to target weights with soft membership.
 
 A softmax classifier learned from the labelled table (a bounded sample of it: ``SAMPLE`` rows) gives every document
-posteriors over domains. Document rates r >= 0 are fitted so that the expected tokens of each domain,
+posteriors over domains. Document rates r >= 0 (r >= 1 in domains that are to stay whole) are fitted so that the expected tokens of each domain,
 sum of r * tokens * posterior, match the targets: weighted least squares by accelerated projected gradient. A step needs one
 sum over all documents for each domain, which Spark makes; the gradient is scaled by 1/tokens, so a document's rate
 follows from its posteriors and the short list of past residuals. Tasks replay that list instead of keeping state,
@@ -105,17 +105,18 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.array(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps so far, and the point at which the next gradient is taken."""
+def replay(p: np.ndarray, residuals: list[np.ndarray], step: float, whole: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the steps so far, and the point at which the next gradient is taken. Likeliest domains in ``whole`` have rates >= 1."""
     rate = ahead = np.ones(len(p))
+    least = np.isin(p.argmax(axis=1), whole).astype(np.float64)
     for t, residual in enumerate(residuals):
-        new = np.maximum(0, ahead - step * (p @ residual))
-        ahead = np.maximum(0, new + t / (t + 3) * (new - rate))
+        new = np.maximum(least, ahead - step * (p @ residual))
+        ahead = np.maximum(least, new + t / (t + 3) * (new - rate))
         rate = new
     return rate, ahead
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], float]:
+def fit_rates(soft: DataFrame, targets: np.ndarray, whole: tuple[int, ...] = ()) -> tuple[list[np.ndarray], float]:
     """Residuals of all steps, and the step length. ``targets`` are expected tokens by domain, over all tokens."""
     k = len(targets)
 
@@ -124,7 +125,7 @@ def fit_rates(soft: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], f
             rate_sum, ahead_sum, square, tokens = np.zeros(k), np.zeros(k), np.zeros((k, k)), 0.0
             for batch in batches:
                 p, n = _matrix(batch), np.array(batch.column("n_tokens"), np.float64)
-                rate, ahead = replay(p, residuals, step)
+                rate, ahead = replay(p, residuals, step, whole)
                 rate_sum, ahead_sum = rate_sum + (rate * n) @ p, ahead_sum + (ahead * n) @ p
                 square, tokens = square + (p * n[:, None]).T @ p, tokens + n.sum()
             flat = np.concatenate([rate_sum, ahead_sum, square.ravel(), [tokens]])
@@ -148,32 +149,47 @@ def fit_rates(soft: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], f
     return residuals, 1.0
 
 
-def _shares(soft: DataFrame, k: int) -> np.ndarray:
-    """Expected share of each domain in all tokens."""
+def _total(soft: DataFrame, wanted: np.ndarray, whole: tuple[int, ...]) -> float:
+    """The least total, over all tokens, at which documents of ``whole`` domains keep rates of 1 and the shares ``wanted`` are met.
+
+    Documents of a domain count by their mean posterior: once each where they are whole, then as often as the rest needs.
+    """
+    k = len(wanted)
     sums = [F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(str(i)) for i in range(k)]
-    row = soft.agg(F.sum("n_tokens").alias("n"), *sums).first()
-    return np.array([(row[str(i)] or 0.0) / max(row["n"] or 0, 1) for i in range(k)])
+    rows = soft.groupBy((F.array_position("posterior", F.array_max("posterior")) - 1).alias("domain")).agg(*sums).collect()
+    tokens = np.zeros((k, k))
+    for r in rows:
+        tokens[r["domain"]] = [r[str(i)] or 0.0 for i in range(k)]
+    have = tokens / max(tokens.sum(), 1)
+    used = np.flatnonzero((wanted > 0) & (have.sum(axis=1) > 0))
+    if not len(used):
+        return 1.0
+    means = have[used] / have[used].sum(axis=1, keepdims=True)
+    turn = np.linalg.pinv(means[:, used].T)
+    per_total, taken = turn @ wanted[used], turn @ have[list(whole)][:, used].sum(axis=0)
+    return max([1.0, *(float(v / u) for u, v in zip(per_total, taken, strict=True) if u > 0)])
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], whole: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_tokens, domain (likeliest), posterior (array, by domain name), rate.
 
     Domains that ``targets`` doesn't name aim at nothing; targets of domains that no label has are left out, and the
-    rest add up to all tokens, or to so many that no domain of ``whole`` gets fewer than it has. Without labels all documents are of one domain and all rates are 1. Rows of equal
+    rest add up to all tokens, or to so many that documents whose likeliest domain is in ``whole`` keep rates of 1 at least. Without labels all documents are of one domain and all rates are 1. Rows of equal
     texts have equal rates; rows without doc_id take part.
     """
     names, weights = classifier(docs, labelled)
     wanted = np.array([targets.get(n, 0.0) for n in names])
     wanted = wanted / wanted.sum() if wanted.sum() > 0 else np.full(len(names), 1 / len(names))
     soft = save(posteriors(docs, weights))
-    shares = _shares(soft, len(names))
-    wanted = wanted * max([1.0, *(float(s / w) for n, s, w in zip(names, shares, wanted, strict=True) if n in whole and w > 0)])
-    residuals, step = fit_rates(soft, wanted)
+    kept = tuple(i for i, n in enumerate(names) if n in whole)
+    if kept:
+        wanted = wanted * _total(soft, wanted, kept)
+    residuals, step = fit_rates(soft, wanted, kept)
 
     def run(batches):
         for batch in batches:
             p = _matrix(batch)
-            rate, _ = replay(p, residuals, step)
+            rate, _ = replay(p, residuals, step, kept)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([names[i] for i in p.argmax(axis=1)], pa.string()), batch.column("posterior"), pa.array(rate)], ["doc_id", "n_tokens", "domain", "posterior", "rate"])
 
     return soft.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double")

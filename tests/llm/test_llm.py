@@ -290,6 +290,17 @@ def test_mixing(spark, docs):
         assert np.floor(rates[i]) <= times <= np.floor(rates[i]) + 1
 
 
+def test_mixing_keeps_whole_domains(spark, docs):
+    labels = queries.domains(spark, SF)
+    out = mixing.mix(docs, labels, queries.MIX_TARGETS, whole=("good", "plain")).collect()
+    p, n, rate = (np.array([r[c] for r in out]) for c in ("posterior", "n_tokens", "rate"))
+    assert min(r.rate for r in out if r.domain in ("good", "plain")) >= 1
+    reached = (n * rate) @ p / (n * rate).sum()
+    assert np.abs(reached - [queries.MIX_TARGETS[k] for k in ("good", "plain", "toxic")]).max() <= 1e-3
+    applied = texts_of(mixing.apply_mix(docs, labels, queries.MIX_TARGETS, whole=("good", "plain")))
+    assert {r.doc_id for r in out if r.domain in ("good", "plain")} <= set(applied)
+
+
 # --- substring dedup ---
 
 
