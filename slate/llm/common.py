@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slate.sources.staged import save
+from slate.sources.staged import discard, save
 
 #: Bytes of text that one vectorised pass works on; longer texts form a pass of their own.
 PASS_BYTES = 1 << 21
@@ -159,11 +159,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = links.union(links.select("v", "u"))
         # Saved, so that the join is one of two plain exchanges and Spark can split a hub's partition.
-        low = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low_saved = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.join(low_saved, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        links = save(small.where("u <> v").distinct())
+        last, links = (links, low_saved), save(small.where("u <> v").distinct())
+        discard(*last)
         n, nodes = links.agg(F.count("*"), F.count_distinct("u")).first()
         if n == nodes and links.join(links.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break  # every node has one link, and that to a root

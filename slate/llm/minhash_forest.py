@@ -1,19 +1,23 @@
 """MinHash near-dedup through an LSH forest, every link confirmed on full shingle sets.
 
-1.  One pass over the texts gives each document the digest of its shingle set and ``TREES`` signatures of
-    ``DEPTH`` MinHash values. Documents with equal sets form one class, which its smallest doc_id stands for.
-2.  Each tree is one sorted order of the signatures. A region is a run that shares the first ``BASE`` values.
-    In a region each document meets its neighbours in sorted order, with which it shares the longest prefix
-    (so the depth adapts to how crowded the region is), and the region's smallest doc_id.
-3.  These candidates are confirmed on full sets, and components are built from the links.
-4.  What the neighbours left open: in regions that still hold several components, every document outside the
-    largest one is held, by two bytes of each shingle (an upper bound of what they share), against the region's
-    documents of other components, in blocks; what may reach the threshold is confirmed too. So no pair that shares a
-    region of any tree is lost, and none within a component is ever listed.
-
-A pair at similarity 0.8 shares none of the regions with probability (1 - 0.8**4)**16 = 0.0002.
-Rows without doc_id link with nothing (component_id null, kept true); rows of one doc_id are one node; null or
-empty texts have an empty set and link with nothing.
+1.  One pass over the texts gives each document the digest of its shingle set, ``TREES`` signatures of ``DEPTH`` MinHash
+    values, and a sketch of a bit for each value. Documents with equal sets form one class, which its smallest doc_id
+    stands for.
+2.  Each tree is one sorted order of the signatures. There a document's neighbours on both sides are those that share
+    the longest prefixes with it: in a crowded region they agree to a great depth, in a thin one to as little as ``LEAST``
+    values. The nearest whose sketch isn't too far from the document's is a candidate; candidates are confirmed on
+    full sets, and links make components.
+3.  The same orders are walked again: now all ``NEAR`` neighbours on either side that lie in another component are
+    candidates. So no pair of a region (a run that shares ``BASE`` values) of up to ``NEAR`` + 1 documents stays open.
+4.  Larger regions that still hold several components are settled exactly: their documents go by their rarest shingles
+    (a prefix filter with positions). Two documents at the threshold share one of them at a place where enough
+    shingles follow in both; only pairs of different components, one of them outside its region's largest, are met.
+
+Every pass costs a bounded number of comparisons for each document and tree; no region is compared pair by pair. A pair at
+similarity 0.8 shares no region in any tree with probability (1 - 0.8**4)**16 = 0.0002, and its sketches are
+found too far apart with probability 0.000001.
+Rows without doc_id link with nothing (component_id null, kept true). Rows of one doc_id are one node, whatever their
+texts. Null or empty texts have an empty set and link with nothing.
 """
 
 from __future__ import annotations
@@ -25,44 +29,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slate.llm.common import components, mix, passes, save, shingle_sets, small_batches, splitmix
+from slate.llm.common import components, discard, mix, passes, save, shingle_sets, small_batches, splitmix
 
-TREES, DEPTH, BASE = 16, 6, 4
-#: Documents of a region, and open ones of it, that one task compares with each other.
-BLOCK = 256
+TREES, DEPTH = 16, 8
+#: Values that neighbours share at least, values that make a region, neighbours looked at on either side.
+LEAST, BASE, NEAR = 2, 4, 8
+#: Shingles are counted in so many buckets, to tell rare from common ones.
+BUCKETS = 1 << 18
 
 _KEYS = splitmix(TREES * DEPTH, 0xF04E57)
 _MULT = splitmix(TREES * DEPTH, 0x5EED) | np.uint64(1)
+_ORDER, _SKETCH = 2 * DEPTH, TREES * DEPTH // 8
 
 
-def _signature(shingles: np.ndarray) -> np.ndarray:
+def _signature(shingles: np.ndarray) -> tuple[bytes, bytes]:
+    """MinHash values of two bytes each, and a further bit of each of them."""
     low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 4096):
         part = shingles[i : i + 4096, None]
         np.minimum(low, ((part ^ _KEYS) * _MULT).min(axis=0), out=low)
-    return mix(low).astype(np.uint16)
+    low = mix(low)
+    return low.astype(np.uint16).tobytes(), np.packbits((low >> np.uint64(40)).astype(np.uint8) & 1).tobytes()
+
+
+def far(percent: int) -> int:
+    """Sketch bits in which a pair at the threshold differs at most, but for five deviations' luck."""
+    n, p = TREES * DEPTH, (100 - percent) / 200
+    return int(n * p + 5 * np.sqrt(n * p * (1 - p)))
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, signature) of every document."""
+    """(doc_id, n_shingles, set_key, signature, sketch) of every document."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
             for at, texts in passes(batch):
                 sets = shingle_sets(texts, width)
+                signed = [_signature(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[at.start : at.stop],
                         pa.array(map(len, sets), pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([_signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        *[pa.array(c, pa.binary()) for c in zip(*signed, strict=True)],
                     ],
-                    ["doc_id", "n_shingles", "set_key", "signature"],
+                    names,
                 )
 
+    names = ["doc_id", "n_shingles", "set_key", "signature", "sketch"]
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, signature binary, sketch binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -88,99 +105,181 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return joined.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct()
 
 
-def _neighbours(batches):
-    """Along a sorted order: each document with the one before it, if both lie in one region."""
-    last = None
-    for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("tree", "region", "doc")), strict=True))
-        pairs = []
-        for row in rows:
-            if last is not None and last[:2] == row[:2] and last[2] != row[2]:
-                pairs.append((min(last[2], row[2]), max(last[2], row[2])))
-            last = row
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _entries(classes: DataFrame) -> DataFrame:
+    """(doc, component, sketch, tree, order): a class once for each tree."""
+    trees = [F.struct(F.lit(t).alias("tree"), F.substring("signature", 1 + t * _ORDER, _ORDER).alias("order")) for t in range(TREES)]
+    return classes.select("doc", "component", "sketch", F.explode(F.array(*trees)).alias("e")).select("doc", "component", "sketch", "e.tree", "e.order")
+
+
+def _walk(limit: int, every: bool):
+    """Along a sorted order: each document with the nearest of the ``NEAR`` before it that may be alike, or, with
+    ``every``, with all of them that lie in another component. A task's first and last rows come out as well (b null)."""
+
+    def fixed(column: pa.Array, size: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+
+    def read(batch: pa.RecordBatch) -> list[np.ndarray]:
+        tree, doc, component = (np.array(batch.column(c), np.int64) for c in ("tree", "doc", "component"))
+        return [tree, doc, component, fixed(batch.column("order"), _ORDER), fixed(batch.column("sketch"), _SKETCH)]
+
+    def pairs(rows: list[np.ndarray], new: int) -> tuple[np.ndarray, np.ndarray]:
+        tree, doc, component, order, sketch = rows
+        start = np.ascontiguousarray(order[:, : 2 * LEAST]).view(f"V{2 * LEAST}")[:, 0]
+        bits = sketch.view(np.uint64)
+        first, second, done = [], [], np.zeros(len(doc), bool)
+        for k in range(1, min(NEAR, len(doc) - 1) + 1):
+            i = np.arange(max(k, new), len(doc))
+            i = i[~done[i]]
+            j = i - k
+            near = (tree[i] == tree[j]) & (start[i] == start[j]) & (doc[i] != doc[j])
+            if every:
+                near &= component[i] != component[j]
+            near[near] = np.bitwise_count(bits[i[near]] ^ bits[j[near]]).sum(axis=1, dtype=np.int64) <= limit
+            first.append(doc[i[near]])
+            second.append(doc[j[near]])
+            if not every:
+                done[i[near]] = True
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (first, second))
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def seam(rows: list[np.ndarray]) -> pa.RecordBatch:
+        tree, doc, component, order, sketch = rows
+        columns = [doc, [None] * len(doc), tree, component, [x.tobytes() for x in order], [x.tobytes() for x in sketch]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    def run(batches):
+        last, seen = None, 0
+        for batch in batches:
+            rows = read(batch)
+            if seen < NEAR:
+                yield seam([c[: NEAR - seen] for c in rows])
+            seen += len(rows[0])
+            new = len(last[0]) if last else 0
+            rows = [np.concatenate(pair) for pair in zip(last, rows, strict=True)] if last else rows
+            a, b = pairs(rows, new)
+            yield pa.RecordBatch.from_arrays([pa.array(a, kinds[0]), pa.array(b, kinds[1]), *[pa.nulls(len(a), t) for t in kinds[2:]]], names)
+            last = [c[-NEAR:] for c in rows]
+        if last:
+            yield seam(last)
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["a", "b", "tree", "component", "order", "sketch"]
+    return run
+
+
+def neighbours(classes: DataFrame, limit: int, every: bool) -> DataFrame:
+    """Distinct candidate pairs (a, b) of the classes (doc, component, signature, sketch), from all trees."""
+    schema, by = "a long, b long, tree int, component long, order binary, sketch binary", ["tree", "order", "doc"]
+    walked = save(_entries(classes).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_walk(limit, every), schema))
+    # What stands on both sides of a cut between tasks: 2 * NEAR rows of each task.
+    seams = walked.where("b is null").select(F.col("a").alias("doc"), "component", "sketch", "tree", "order").distinct()
+    across = seams.repartition(1).sortWithinPartitions(*by).mapInArrow(_walk(limit, every), schema)
+    return walked.union(across).where("b is not null").select("a", "b").distinct()
+
 
+# --- crowded regions: a prefix filter ---
 
-def fingerprints(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc, prints): two bytes of each shingle of the documents in ``wanted`` (doc), one for each shingle."""
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``wanted`` (doc, component, open) with items: four bytes of each shingle, one for each."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc")
             for at, texts in passes(batch):
-                sets = [(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in shingle_sets(texts, width)]
-                yield pa.RecordBatch.from_arrays([ids[at.start : at.stop], pa.array(sets, pa.binary())], ["doc", "prints"])
+                items = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(texts, width)]
+                rest = [batch.column(c)[at.start : at.stop] for c in ("doc", "component", "open")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(items, pa.binary())], ["doc", "component", "open", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
-    joined = wanted.join(texts, F.col("doc") == F.col("id")).select("doc", "text").mapInArrow(run, "doc long, prints binary")
-    return joined.groupBy("doc").agg(F.max("prints").alias("prints"))
+    return wanted.join(texts, F.col("doc") == F.col("id")).select("doc", "component", "open", "text").mapInArrow(run, "doc long, component long, open boolean, items binary")
+
 
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column("items").to_pylist()), np.uint32) & (BUCKETS - 1), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], ["bucket", "n"])
 
-def _compare_block(percent: int):
-    """Pairs of a block, one of them open, of different components, that by their prints may reach the threshold.
+    out = np.zeros(BUCKETS, np.int64)
+    rows = sets.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out[np.array(rows.column("bucket"))] = np.array(rows.column("n"))
+    return out
 
-    Shared prints are at least the shared shingles, so no link is lost.
-    """
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["doc", "component", "open", "prints"]).to_pydict()
-        docs, comp = np.array(rows["doc"], np.int64), np.array(rows["component"], np.int64)
-        prints = [np.frombuffer(p, np.uint16) for p in rows["prints"]]
-        sizes = np.fromiter(map(len, prints), np.int64, len(prints))
-        is_open = np.array(rows["open"], bool)
-        rest = np.flatnonzero(~is_open)
-        if not len(rest):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        flat = np.concatenate([prints[j] for j in rest])
-        starts = np.cumsum(sizes[rest]) - sizes[rest]
-        a, b = [], []
-        has = np.zeros(1 << 16, bool)
-        for i in np.flatnonzero(is_open):
-            has[prints[i]] = True
-            both = np.minimum(np.add.reduceat(has[flat], starts, dtype=np.int64), sizes[i])
-            has[prints[i]] = False
-            like = rest[(comp[rest] != comp[i]) & (100 * both >= percent * (sizes[rest] + sizes[i] - both))]
-            a += [docs[i]] * len(like)
-            b += docs[like].tolist()
-        return pa.table({"a": pa.array(np.minimum(a, b) if a else [], pa.int64()), "b": pa.array(np.maximum(a, b) if a else [], pa.int64())})
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, component, open, size, item, place) of each document's rarest items: those of which a pair at the threshold shares one."""
+    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))  # BUCKETS numbers, 2 MB
 
-    return run
+    def run(batches):
+        n = counts.value
+        for batch in batches:
+            at, items, places, sizes = [], [], [], []
+            for k, packed in enumerate(batch.column("items").to_pylist()):
+                own = np.frombuffer(packed, np.uint32)
+                held = len(own) + (-percent * len(own)) // 100 + 1  # less what even an equal-sized half of the pair must share
+                own = own[np.lexsort((own, n[own & (BUCKETS - 1)]))[:held]]
+                at.append(np.full(len(own), k))
+                items.append(own.astype(np.int64))
+                places.append(np.arange(len(own)))
+                sizes.append(np.full(len(own), len(packed) // 4))
+            at, items, places, sizes = map(np.concatenate, (at, items, places, sizes))
+            for b in range(0, len(at), 50_000):
+                part = slice(b, b + 50_000)
+                rows = batch.select(["doc", "component", "open"]).take(pa.array(at[part]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(c[part], pa.int64()) for c in (sizes, items, places)]], names)
+
+    names = ["doc", "component", "open", "size", "item", "place"]
+    return sets.mapInArrow(run, "doc long, component long, open boolean, size long, item long, place long")
+
+
+def _met(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, one of them open, that share an item early enough to reach the threshold."""
+    a = rare.where("open").select([F.col(c).alias(f"a_{c}") for c in ("doc", "component", "size", "place")] + ["item"])
+    b = rare.select([F.col(c).alias(f"b_{c}") for c in ("doc", "component", "size", "place")] + ["item"])
+    both = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    enough = both * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent
+    met = a.join(b, "item").where((F.col("a_component") != F.col("b_component")) & enough)
+    return met.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b")).distinct()
+
+
+def _crowded(classes: DataFrame) -> DataFrame:
+    """(doc, component, open) of the documents in regions of several components and over ``NEAR`` + 1 documents.
+
+    Open are those outside the largest component of such a region.
+    """
+    placed = _entries(classes).select("doc", "component", "tree", F.substring("order", 1, 2 * BASE).alias("region"))
+    counts = placed.groupBy("tree", "region", "component").agg(F.count("*").alias("m"))
+    # Saved, so that the join is one of two plain exchanges and Spark can split a crowded region's partition.
+    mains = save(counts.groupBy("tree", "region").agg(F.sum("m").alias("n"), F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).where(f"parts > 1 and n > {NEAR + 1}"))
+    return placed.join(mains, ["tree", "region"]).groupBy("doc").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("open"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     signed = save(signatures(docs, width))
-    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
-    classes = save(classes)
-    step, base = 2 * DEPTH, 2 * BASE
-    entries = classes.select(
-        "doc", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", 1 + t * step, step).alias("order"), F.substring("signature", 1 + t * step, base).alias("region")) for t in range(TREES)])).alias("e")
-    ).select("doc", "e.*")
-    regions = entries.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1")
-    crowded = save(entries.join(regions, ["tree", "region"]))
-    sorted_orders = crowded.repartitionByRange("tree", "order", "doc").sortWithinPartitions("tree", "order", "doc").select("tree", "region", "doc")
-    first = save(sorted_orders.mapInArrow(_neighbours, "a long, b long").union(crowded.where("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"))).distinct())
-    links = save(confirm(first, docs, width, percent))
-    reached = save(components(links))
+    known = signed.where("set_key is not null and doc_id is not null")
+    classes = save(known.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"), F.min("sketch").alias("sketch")))
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low < high").select("doc_id")
+    links = known.join(save(several), "doc_id", "left_semi").select("doc_id", "set_key").join(classes, "set_key").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct()
 
-    placed = crowded.join(reached, F.col("doc") == F.col("node"), "left").select("tree", "region", "n", "doc", F.coalesce("component", "doc").alias("component"))
-    counts = placed.groupBy("tree", "region", "component").agg(F.count("*").alias("m"))
-    # Saved, so that the join is one of two plain exchanges and Spark can split a crowded region's partition.
-    mains = save(counts.groupBy("tree", "region").agg((F.sum("m") - F.max("m")).alias("opened"), F.max_by("component", F.struct("m", "component")).alias("main")).where("opened > 0"))
-    mixed = placed.join(mains, ["tree", "region"])
-    # Both sides are dealt to blocks, so that no group grows with its region.
-    blocks, turns = (F.ceil(F.col(n) / F.lit(BLOCK)).cast("int") for n in ("n", "opened"))
-    place = ["tree", "region", "doc", "component"]
-    sides = mixed.select(*place, F.pmod(F.hash("doc"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(False).alias("open")).union(
-        mixed.where("component <> main").select(*place, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.hash("doc"), turns).alias("turn"), F.lit(True).alias("open"))
-    )
-    sides = save(sides)
-    prints = save(fingerprints(docs, sides.select("doc").distinct(), width))
-    compared = sides.join(prints, "doc").groupBy("tree", "region", "block", "turn").applyInArrow(_compare_block(percent), "a long, b long")
-    second = save(confirm(compared.distinct().join(first, ["a", "b"], "left_anti"), docs, width, percent))
-    if not second.isEmpty():
-        reached = components(links.union(second))
+    def placed(reached: DataFrame) -> DataFrame:
+        return classes.join(reached, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("component"), "signature", "sketch")
 
+    tested = save(neighbours(classes.withColumn("component", F.col("doc")), far(percent), every=False))
+    links = save(links.union(confirm(tested, docs, width, percent)))
+    reached = save(components(links))
+    for step in ("neighbours", "crowded regions"):
+        now = save(placed(reached))
+        found = neighbours(now, far(percent), every=True) if step == "neighbours" else _met(prefixes(save(_sets(docs, _crowded(now), width)), percent), percent)
+        more = save(found.join(tested, ["a", "b"], "left_anti"))
+        new = save(confirm(more, docs, width, percent))
+        tested = tested.union(more)
+        discard(now)
+        if not new.isEmpty():
+            links = links.union(new)
+            reached = save(components(links))
     found = classes.join(reached, F.col("doc") == F.col("node"), "left").select(F.col("set_key").alias("class_key"), F.coalesce("component", "doc").alias("class_id"))
     out = signed.join(found, F.col("set_key") == F.col("class_key"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
