@@ -1,10 +1,12 @@
 """License scans by a positional index of rare words.
 
-Each template files its ``FILED`` highest-IDF words (document frequencies over the whole corpus) with their positions.
-A file's words are looked up there; each posting says where in the file the template would begin, postings that agree
-on that beginning are intersected, and what is left must hold the template's mandatory key phrases in their places
-and at least ``COVER`` of its words. The three base phrases are templates that are their own key phrase: all their
-places are found, through their rarest word.
+A template is a licence's text, or a notice, with mandatory key phrases. Of each key phrase the highest-IDF words (document
+frequencies over the whole corpus; ``FILED`` words a template, one a phrase at least) are filed with their positions. A
+file's words are looked up there: each posting says where in the file its phrase would begin, and the postings of a phrase
+are intersected by that beginning. As every filed word belongs to a mandatory phrase, no copy is lost by it. What is left must hold all words
+of the phrase; a template's phrases must stand in their order, each at its distance from the first to within ``SLACK``
+words; and of the template's words, each placed by the phrase before it, at least ``COVER`` must be there. The three base
+phrases are templates that are their own key phrase: all their places are found.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slate.llm.common import LOWER, Texts, passes, range_hashes, small_batches
+from slate.llm.license_texts import NOTICES, WHOLE
 
-FILED, COVER = 4, 0.7
+FILED, COVER, SLACK = 4, 0.8, 24
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
@@ -27,35 +30,21 @@ IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 class Template:
     label: str
     text: str
-    key: str
+    keys: tuple[str, ...]
     base: bool = False
 
 
-def base(phrase: str, label: str) -> Template:
-    return Template(label, phrase, phrase, True)
+def phrase(label: str, text: str, base: bool = False) -> Template:
+    """A template that is its own key phrase."""
+    return Template(label, text, (text,), base)
 
 
-BASE = (base("cc by", "cc-by"), base("general public license", "gpl"), base("all rights reserved", "reserved"))
-#: Opening words of public licences and customary notices.
-OWN = (
-    Template("mit", "released under the mit license", "mit license"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    Template("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
-    Template("apache-2.0", "you may not use this file except in compliance with the license", "except in compliance with the license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    Template("gpl", "under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    Template("cc-by", "licensed under a creative commons attribution", "creative commons attribution"),
-)
+BASE = (phrase("cc-by", "cc by", True), phrase("gpl", "general public license", True), phrase("reserved", "all rights reserved", True))
+OWN = tuple(Template(*t) for t in WHOLE) + tuple(phrase(*t) for t in NOTICES)
 
 
 def _hashes(text: str) -> np.ndarray:
-    t = Texts([text.encode()])
-    starts, ends, _ = t.words(IS_WORD)
-    return range_hashes(t.buf, starts, ends)
+    return _words([text.encode()])[0]
 
 
 def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +75,60 @@ def document_frequencies(docs: DataFrame, words: np.ndarray) -> np.ndarray:
     return out
 
 
+@dataclass(frozen=True)
+class _Key:
+    """A mandatory phrase: its words, its place in the template, and (word in the index, place in the phrase) of those filed."""
+
+    words: np.ndarray
+    place: int
+    filed: tuple[tuple[int, int], ...]
+
+
+@dataclass(frozen=True)
+class _Plan:
+    words: np.ndarray
+    keys: tuple[_Key, ...]
+
+
+def _index(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[np.ndarray, list[_Plan]]:
+    """The sorted words that are filed, and where each template has them."""
+    hashed = [(_hashes(t.text), [_hashes(k) for k in t.keys]) for t in templates]
+    vocabulary = np.unique(np.concatenate([k for _, keys in hashed for k in keys]))
+    df = dict(zip(vocabulary.tolist(), document_frequencies(docs, vocabulary).tolist(), strict=True))
+    rare: list[list[tuple[np.ndarray, int, list[int]]]] = []
+    for own, keys in hashed:
+        rows, after = [], 0
+        for key in keys:
+            place = next(k for k in range(after, len(own) - len(key) + 1) if (own[k : k + len(key)] == key).all())
+            after = place + len(key)
+            rows.append((key, place, sorted(range(len(key)), key=lambda k, key=key: (df[int(key[k])], k))))
+        rare.append([(key, place, order[: max(1, FILED // len(keys))]) for key, place, order in rows])
+    index = np.unique(np.array([key[k] for rows in rare for key, _, order in rows for k in order], np.uint64))
+    at = {int(h): i for i, h in enumerate(index)}
+    return index, [_Plan(own, tuple(_Key(key, place, tuple((at[int(key[k])], k) for k in order)) for key, place, order in rows)) for (own, _), rows in zip(hashed, rare, strict=True)]
+
+
+def _placed(i: int, plan: _Plan, found: list[np.ndarray], hashes: np.ndarray, first: np.ndarray):
+    """Places of a template whose phrases stand at ``found``: one phrase after the other, near where the first says."""
+    starts, keep = [found[0]], np.ones(len(found[0]), bool)
+    for key, places in zip(plan.keys[1:], found[1:], strict=True):
+        wanted = starts[0] + key.place - plan.keys[0].place
+        at = np.searchsorted(places, wanted)
+        low, high = places[np.maximum(at - 1, 0)], places[np.minimum(at, len(places) - 1)]
+        nearest = np.where(np.abs(low - wanted) <= np.abs(high - wanted), low, high)
+        keep &= (np.abs(nearest - wanted) <= SLACK) & (nearest > starts[-1])
+        starts.append(nearest)
+    starts = [s[keep] for s in starts]
+    doc = np.searchsorted(first, starts[0], side="right") - 1
+    by = np.maximum(np.searchsorted([k.place for k in plan.keys], np.arange(len(plan.words)), side="right") - 1, 0)
+    spots = np.stack(starts, axis=1)[:, by] + np.arange(len(plan.words)) - np.array([k.place for k in plan.keys])[by]
+    inside = (spots >= first[doc][:, None]) & (spots < first[doc + 1][:, None])
+    share = (inside & (hashes[np.clip(spots, 0, len(hashes) - 1)] == plan.words)).mean(axis=1)
+    for s, d, c in zip(starts[0] - plan.keys[0].place, doc, share, strict=True):
+        if c >= COVER:
+            yield i, int(d), int(s - first[d]), float(c)
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -94,45 +137,32 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN) -> DataF
     best share of a labelled template's words found in place (1 for base phrases), 0 without labels. A null text
     counts as empty; rows are judged one by one.
     """
-    hashed = [(_hashes(t.text), _hashes(t.key)) for t in templates]
-    vocabulary = np.unique(np.concatenate([h for h, _ in hashed]))
-    df = dict(zip(vocabulary.tolist(), document_frequencies(docs, vocabulary).tolist(), strict=True))
-    filed: dict[int, list[tuple[int, int]]] = {}  # word -> (template, position): least document frequency is highest IDF
-    keys = []
-    for i, (t, (own, key)) in enumerate(zip(templates, hashed, strict=True)):
-        places = next(k for k in range(len(own)) if (own[k : k + len(key)] == key).all() and k + len(key) <= len(own))
-        keys.append(places)
-        for k in sorted(range(len(own)), key=lambda k: (df[int(own[k])], k))[: 1 if t.base else FILED]:
-            filed.setdefault(int(own[k]), []).append((i, k))
-    index = np.array(sorted(filed), np.uint64)
+    index, plans = _index(docs, templates)
 
     def look_up(hashes: np.ndarray, first: np.ndarray):
         """(template, document, start, share of its words in place) of every place that passes."""
         at = np.minimum(np.searchsorted(index, hashes), len(index) - 1)
         hit = np.flatnonzero(index[at] == hashes)
-        begins: dict[int, list[np.ndarray]] = {}
-        for word in np.unique(at[hit]):
-            places = hit[at[hit] == word]
-            for i, k in filed[int(index[word])]:
-                begins.setdefault(i, []).append(places - k)
-        for i, found in begins.items():
-            own, key = hashed[i]
-            start, votes = np.unique(np.concatenate(found), return_counts=True)
-            start = start[votes >= (1 if templates[i].base else 2)]
-            mandatory = start + keys[i]
-            inside = (mandatory >= 0) & (mandatory + len(key) <= len(hashes))
-            start, mandatory = start[inside], mandatory[inside]
-            doc = np.searchsorted(first, mandatory, side="right") - 1
-            fits = mandatory + len(key) <= first[doc + 1]
-            for k in range(len(key)):
-                fits &= hashes[np.minimum(mandatory + k, len(hashes) - 1)] == key[k]
-            start, doc = start[fits], doc[fits]
-            spots = start[:, None] + np.arange(len(own))
-            there = (spots >= first[doc][:, None]) & (spots < first[doc + 1][:, None])
-            share = (there & (hashes[np.clip(spots, 0, len(hashes) - 1)] == own)).mean(axis=1)
-            for s, d, c in zip(start, doc, share, strict=True):
-                if c >= COVER:
-                    yield i, int(d), int(s - first[d]), float(c)
+        word = at[hit]
+        there = set(np.unique(word).tolist())
+        for i, plan in enumerate(plans):
+            found = []
+            for key in plan.keys:
+                if not there.issuperset(w for w, _ in key.filed):
+                    break
+                starts = None
+                for w, offset in key.filed:
+                    begins = hit[word == w] - offset
+                    starts = begins if starts is None else np.intersect1d(starts, begins, assume_unique=True)
+                starts = starts[(starts >= 0) & (starts + len(key.words) <= len(hashes))]
+                starts = starts[first[np.searchsorted(first, starts, side="right")] >= starts + len(key.words)]
+                for k, h in enumerate(key.words):
+                    starts = starts[hashes[starts + k] == h]
+                if not len(starts):
+                    break
+                found.append(starts)
+            else:
+                yield from _placed(i, plan, found, hashes, first)
 
     def run(batches):
         for batch in batches:
