@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from slate.llm.common import LOWER, passes, small_batches
 
-BUCKETS, SAMPLE, MAX_LANGUAGES, PENALTY = 4096, 2000, 200, 2.0
-ROUNDS, AGAIN = 12, 5
+BUCKETS, SAMPLE, PENALTY = 4096, 2000, 2.0
+#: Rounds of EM at first and after a language left; above so many languages all but the largest leave at once, if the likelihood allows it.
+ROUNDS, AGAIN, FEW = 12, 5, 8
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -31,14 +32,15 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and the smoothed trigram distribution of each (languages x buckets)."""
+    """All languages that occur, and the smoothed trigram distribution of each (languages x buckets).
+
+    Rows without text or lang teach nothing; of repeated rows each counts.
+    """
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return [], np.zeros((0, BUCKETS))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))).otherwise(share)
+    share = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, sample / r["count"]))]), F.col("lang"))
     drawn = (F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) / (1 << 20)) < share
 
     def run(batches):
@@ -53,11 +55,12 @@ def learn(docs: DataFrame, labelled: Column, sample: int = SAMPLE) -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(total[some], pa.float64())], ["lang", "bucket", "n"])
 
     small_batches(docs.sparkSession)
-    sums = rows.where(drawn).mapInArrow(run, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    names = sorted({r["lang"] for r in sums})
+    sums = rows.where(drawn).mapInArrow(run, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = np.array(sums.column("lang").to_pylist(), object)
+    names = sorted(set(found))
     table = np.full((len(names), BUCKETS), 0.5)
-    for r in sums:
-        table[names.index(r["lang"]), r["bucket"]] += r["n"]
+    if names:
+        table[np.searchsorted(np.array(names, object), found), np.array(sums.column("bucket"))] += np.array(sums.column("n"))
     return names, table / table.sum(axis=1, keepdims=True)
 
 
@@ -75,6 +78,11 @@ def mixtures(counts: np.ndarray, like: np.ndarray, penalty: float = PENALTY) ->
     m, k = len(counts), len(like)
     share, fit = _em(counts, like, np.full((m, k), 1 / k, np.float32), ROUNDS)
     cost = penalty * np.log(np.maximum(counts.sum(axis=1), 2))
+    if k > FEW:
+        few = np.where(share >= np.partition(share, k - FEW, axis=1)[:, [k - FEW]], share, 0)
+        few, fits = _em(counts, like, few / few.sum(axis=1, keepdims=True), AGAIN)
+        better = fits + cost * (share > 0).sum(axis=1) >= fit + cost * (few > 0).sum(axis=1)
+        share[better], fit[better] = few[better], fits[better]
     live = np.arange(m)
     for _ in range(k - 1):
         live = live[(share[live] > 0).sum(axis=1) > 1]
@@ -99,7 +107,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """
     names, table = model
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # at most MAX_LANGUAGES * BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))  # 16 KB a language
 
     def run(batches):
         like = shared.value
