@@ -10,6 +10,8 @@ so nothing is lost with an executor, and the driver holds a number for each doma
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +19,9 @@ from pyspark.sql import functions as F
 
 from slate.llm.common import LOWER, NOT_SPACE, Texts, passes, range_hashes, save, small_batches
 
-BITS, SAMPLE, TRAINING, STEPS, CLOSE = 16, 4000, 80, 40, 1e-4
+BITS, SAMPLE, TRAINING, CLOSE = 16, 4000, 80, 1e-4
+#: Steps without a nearer fit (by a hundredth) after which targets count as out of reach.
+PATIENCE = 25
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
@@ -116,8 +120,12 @@ def replay(p: np.ndarray, residuals: list[np.ndarray], step: float, whole: tuple
     return rate, ahead
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, whole: tuple[int, ...] = ()) -> tuple[list[np.ndarray], float]:
-    """Residuals of all steps, and the step length. ``targets`` are expected tokens by domain, over all tokens."""
+def fit_rates(soft: DataFrame, targets: np.ndarray, whole: tuple[int, ...] = ()) -> tuple[list[np.ndarray], float, float]:
+    """Residuals of all steps, the step length, and how far off the worst domain still is.
+
+    ``targets`` are expected tokens by domain, over all tokens. Steps go on until all are met to within ``CLOSE``, or until
+    ``PATIENCE`` steps bring the worst one no nearer: then no rates meet them.
+    """
     k = len(targets)
 
     def sums(residuals: list[np.ndarray], step: float):
@@ -138,15 +146,16 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, whole: tuple[int, ...] = ())
         return flat[:k], flat[k : 2 * k], flat[2 * k : -1].reshape(k, k), flat[-1]
 
     residuals: list[np.ndarray] = []
-    weigh = np.eye(k)
-    for _ in range(STEPS):
+    weigh, best, waited = np.eye(k), np.inf, 0
+    while True:
         reached, ahead, square, tokens = sums(residuals, 1.0)
-        if tokens == 0 or np.abs(reached / tokens - targets).max() <= CLOSE:
-            break
+        off = float(np.abs(reached / tokens - targets).max()) if tokens else 0.0
+        best, waited = (off, 0) if off < 0.99 * best else (best, waited + 1)
+        if off <= CLOSE or waited >= PATIENCE:
+            return residuals, 1.0, off
         if not residuals:  # least squares weighed by the inverse of the domains' overlap: the steepest direction is 1
-            weigh = np.linalg.pinv(square / tokens, rcond=1e-4, hermitian=True)
+            weigh = np.linalg.pinv(square / tokens, rcond=1e-10, hermitian=True)
         residuals.append(weigh @ (ahead / tokens - targets))
-    return residuals, 1.0
 
 
 def _total(soft: DataFrame, wanted: np.ndarray, whole: tuple[int, ...]) -> float:
@@ -171,8 +180,10 @@ def _total(soft: DataFrame, wanted: np.ndarray, whole: tuple[int, ...]) -> float
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], whole: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_tokens, domain (likeliest), posterior (array, by domain name), rate.
+    """One row per document: doc_id, n_tokens, domain (likeliest), posterior (array, by domain name), rate, off.
 
+    off is how far the worst domain's expected tokens are from their target, over all tokens: at most ``CLOSE``, or
+    more (and a warning) where no rates meet the targets.
     Domains that ``targets`` doesn't name aim at nothing; targets of domains that no label has are left out, and the
     rest add up to all tokens, or to so many that documents whose likeliest domain is in ``whole`` keep rates of 1 at least. Without labels all documents are of one domain and all rates are 1. Rows of equal
     texts have equal rates; rows without doc_id take part.
@@ -184,15 +195,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], whole:
     kept = tuple(i for i, n in enumerate(names) if n in whole)
     if kept:
         wanted = wanted * _total(soft, wanted, kept)
-    residuals, step = fit_rates(soft, wanted, kept)
+    residuals, step, off = fit_rates(soft, wanted, kept)
+    if off > CLOSE:
+        warnings.warn(f"no rates meet the targets: a domain is {off:.4f} of all tokens off", stacklevel=2)
 
     def run(batches):
         for batch in batches:
             p = _matrix(batch)
             rate, _ = replay(p, residuals, step, kept)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([names[i] for i in p.argmax(axis=1)], pa.string()), batch.column("posterior"), pa.array(rate)], ["doc_id", "n_tokens", "domain", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([names[i] for i in p.argmax(axis=1)], pa.string()), batch.column("posterior"), pa.array(rate), pa.array(np.full(len(p), off))], ["doc_id", "n_tokens", "domain", "posterior", "rate", "off"])
 
-    return soft.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double")
+    return soft.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, off double")
 
 
 def copies(rate, doc_id):
