@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterable
 from functools import cache
 from itertools import filterfalse
 from operator import itemgetter
@@ -149,15 +150,17 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
         self.split = regex.compile(pattern)
-        self.names = {rank: str(rank) for rank in self.tokens}
+        self.names = [str(rank) for rank in range(len(self.tokens))]
         self.merger = Merger(self.ranks)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[int, str]] = {}
+        self.older: dict[str, tuple[int, str]] = {}
 
-    def piece(self, match: str) -> tuple[int, str, bytes]:
-        """Of one match: how many ids, the ids in decimal joined by spaces, and the bytes that these decode to."""
+    def piece(self, match: str) -> tuple[int, str]:
+        """Of one match: how many ids, and the ids in decimal joined by spaces."""
         found = self.known.get(match)
         if found is None:
             found = self.older.get(match)
@@ -186,10 +189,10 @@ class Codec:
                 for match, ids in zip(part, self.merger.merge([x.encode() for x in part]), strict=True):
                     self._keep(match, self._entry(ids))
 
-    def _entry(self, ids: list[int]) -> tuple[int, str, bytes]:
-        return len(ids), " ".join([self.names[i] for i in ids]), self.decode(ids)
+    def _entry(self, ids: list[int]) -> tuple[int, str]:
+        return len(ids), " ".join([self.names[i] for i in ids])
 
-    def _keep(self, match: str, found: tuple[int, str, bytes]) -> None:
+    def _keep(self, match: str, found: tuple[int, str]) -> None:
         if len(self.known) >= CACHE:
             self.older, self.known = self.known, {}
         self.known[match] = found
@@ -197,8 +200,8 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for m in self.split.findall(text) for i in self.piece(m)[1].split()]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.tokens[i] for i in ids])
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @cache
@@ -228,9 +231,11 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                     found = list(map(own.known.get, matches))
                     if None in found:
                         found = [f or own.piece(m) for f, m in zip(found, matches, strict=True)]
-                    ids, decoded = " ".join(map(itemgetter(1), found)), b"".join(map(itemgetter(2), found))
-                    digests = (hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    out.append((sum(map(itemgetter(0), found)), *digests, *(([int(i) for i in ids.split()], decoded.decode("utf-8", "replace")) if with_ids else ())))
+                    joined = " ".join(map(itemgetter(1), found))
+                    ids = list(map(int, joined.split()))
+                    decoded = own.decode(ids)
+                    digests = (hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    out.append((len(ids), *digests, *((ids, decoded.decode("utf-8", "replace")) if with_ids else ())))
                 columns = list(zip(*out, strict=True))
                 types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([doc_ids[at.start : at.stop], *[pa.array(c, t) for c, t in zip(columns, types, strict=False)]], names)
