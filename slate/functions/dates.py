@@ -59,3 +59,18 @@ def round_itime(seconds: Column, to: str, truncate: bool = False) -> Column:
 def format_itime(seconds: Column) -> Column:
     a = F.abs(seconds)
     return F.concat(F.when(seconds < 0, "-").otherwise(""), F.format_string("%02d:%02d:%02d", F.floor(a / 3600), F.floor(a / 60) % 60, a % 60))
+
+
+def mean_date(x: Column) -> Column:
+    """Mean of whole-day dates, in whole days; missing without any. ``F.min`` and ``F.max`` do for the others."""
+    return F.date_from_unix_date(F.avg(F.unix_date(x)).cast("int"))
+
+
+def date_seq(start: Column, end: Column, by: str = "1 day") -> Column:
+    """Dates from start to end, both included, as an array; ``by`` is a number of days, weeks, months or years."""
+    return F.sequence(start, end, F.expr(f"interval {by}"))
+
+
+def date_cut(x: Column, unit: str) -> Column:
+    """The first day of the date's week (Monday), month, quarter or year."""
+    return F.trunc(x, {"weeks": "week", "months": "month", "quarters": "quarter", "years": "year"}[unit])

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slate.functions.scalar import col, lit, sort_key
+from slate.functions.scalar import col, divide, lit, not_nan, sort_key
 from slate.operators.rows import number_rows
 
 
@@ -18,13 +18,17 @@ def _gate(x: Column, out: Column) -> Column:
 
 
 def total(x: Column | str, na_rm: bool = False) -> Column:
+    """Sum; ``na_rm`` leaves out missing values and NaN, here and in the aggregates below."""
     x = col(x)
-    return F.coalesce(F.sum(x), F.sum(x * 0), F.lit(0)) if na_rm else F.when(F.count(F.lit(1)) == 0, F.lit(0)).otherwise(_gate(x, F.sum(x)))
+    if na_rm:
+        x = not_nan(x)
+        return F.coalesce(F.sum(x), F.sum(x * 0), F.lit(0))
+    return F.when(F.count(F.lit(1)) == 0, F.lit(0)).otherwise(_gate(x, F.sum(x)))
 
 
 def mean(x: Column | str, na_rm: bool = False) -> Column:
     x = col(x).cast("double")
-    return F.coalesce(F.avg(x), F.lit(float("nan"))) if na_rm else _gate(x, F.avg(x))
+    return F.coalesce(F.avg(not_nan(x)), F.lit(float("nan"))) if na_rm else _gate(x, F.avg(x))
 
 
 def least(x: Column | str, na_rm: bool = False, floating: bool = False) -> Column:
@@ -44,12 +48,12 @@ def _extreme(f: Callable, x: Column, na_rm: bool, floating: bool) -> Column:
 
 def median(x: Column | str, na_rm: bool = False) -> Column:
     x = col(x)
-    return F.median(x) if na_rm else _gate(x, F.median(x))
+    return F.median(not_nan(x)) if na_rm else _gate(x, F.when(F.bool_or(F.isnan(x)), F.lit(float("nan"))).otherwise(F.median(x)))
 
 
 def var(x: Column | str, na_rm: bool = False) -> Column:
     x = col(x)
-    return F.var_samp(x) if na_rm else _gate(x, F.var_samp(x))
+    return F.var_samp(not_nan(x)) if na_rm else _gate(x, F.var_samp(x))
 
 
 def sd(x: Column | str, na_rm: bool = False) -> Column:
@@ -58,15 +62,16 @@ def sd(x: Column | str, na_rm: bool = False) -> Column:
 
 def prod(x: Column | str, na_rm: bool = False) -> Column:
     x = col(x)
-    return F.coalesce(F.product(x), F.lit(1.0)) if na_rm else _gate(x, F.product(x))
+    return F.coalesce(F.product(not_nan(x)), F.lit(1.0)) if na_rm else _gate(x, F.product(x))
 
 
 def weighted_mean(x: Column | str, w: Column | str, na_rm: bool = False) -> Column:
+    """Missing with a missing value or weight; ``na_rm`` leaves out rows by their value only. NaN where weights add up to 0."""
     x, w = col(x), col(w)
-    if na_rm:
-        w = F.when(x.isNotNull(), w)
-        return F.try_divide(F.sum(x * w), F.sum(w))
-    return _gate(x, F.try_divide(F.sum(F.when(w != 0, x * w).otherwise(0)), F.sum(w)))
+    known = not_nan(x).isNotNull() if na_rm else F.lit(True)
+    both = F.when(known, (w != 0).cast("double") * x * w)
+    bad = F.count_if(known & (x.isNull() | w.isNull()))
+    return F.when(bad == 0, divide(F.coalesce(F.sum(both), F.lit(0.0)), F.coalesce(F.sum(F.when(known, w)), F.lit(0.0))))
 
 
 def first(x: Column | str, order: Sequence[Column | str]) -> Column:
@@ -93,6 +98,8 @@ NATIVE: dict[str, Callable[..., Column]] = {f.__name__: f for f in (total, mean,
 def summarise(df: DataFrame, by: Sequence[str | Column], aggs: dict[str, Column], keyed: bool = False, order: Sequence[Column | str] | None = None) -> DataFrame:
     """Group and aggregate. ``keyed`` sorts by the keys, missing first; ``order`` sorts groups by first appearance."""
     keys = [F.col(b) if isinstance(b, str) else b for b in by]
+    if nested := [n for n, t in df.select(*keys).dtypes if t.startswith(("array", "map", "struct"))]:
+        raise TypeError(f"can't group by {nested[0]}: it holds several values a row")
     named = [c.alias(n) for n, c in aggs.items()]
     if order is not None:
         named.append(F.min(F.struct(*map(col, order))).alias("__first"))

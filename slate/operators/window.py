@@ -7,11 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from slate.functions.scalar import col, lit
+from slate.functions.scalar import col, lit, not_nan, sort_key
+from slate.operators.spread import carry_last
 
 
 def window(by: Sequence[str | Column], order: Sequence[str | Column]) -> WindowSpec:
-    return Window.partitionBy(*by).orderBy(*order)
+    """Rows of each group in ascending order. ``back`` of the result is the same window from its end."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    w.back = Window.partitionBy(*by).orderBy(*[F.desc(o) if isinstance(o, str) else o.desc() for o in order])
+    return w
 
 
 def shift(x: Column | str, n: int, w: WindowSpec, kind: str = "lag", fill=None) -> Column:
@@ -35,6 +39,22 @@ def cyclic(df: DataFrame, x: str, n: int, by: Sequence[str], order: Sequence[str
     return rows.join(source, on).drop("__rn", "__n", "__to", *[f"__{b}" for b in by])
 
 
+def shift_columns(columns: Sequence[str], ns: Sequence[int], w: WindowSpec, kind: str = "lag", fill=None) -> dict[str, Column]:
+    """Every column shifted by every n, under names like ``x_lag_1``."""
+    return {f"{c}_{kind}_{n}": shift(c, n, w, kind, fill) for c in columns for n in ns}
+
+
+def froll_columns(f: str, columns: Sequence[str], ns: Sequence[int], w: WindowSpec, **kw) -> dict[str, Column]:
+    """Every column rolled over every n, under names like ``x_rollmean3``."""
+    return {f"{c}_roll{f}{n}": froll(f, c, n, w, **kw) for c in columns for n in ns}
+
+
+def frank_missing(x: str, by: Sequence[str], na_last: bool | str = True, descending: bool = False, ties: str = "average", tie_order: Sequence[Column] = ()) -> Column:
+    """Rank by one column; missing values rank last (True), first (False), not at all (``keep``)."""
+    rank = frank(sort_key(x, descending, na_last is not False), by, ties, tie_order)
+    return F.when(F.col(x).isNotNull(), rank) if na_last == "keep" else rank
+
+
 def frank(order: Sequence[Column], by: Sequence[str], ties: str = "average", tie_order: Sequence[Column] = (), seed: int = 1) -> Column:
     """Rank within groups. ``first`` and ``last`` need a total ``tie_order``; ``random`` breaks ties by seeded chance."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -52,8 +72,10 @@ def frank(order: Sequence[Column], by: Sequence[str], ties: str = "average", tie
     }[ties]()
 
 
-def rowid(by: Sequence[str], order: Sequence[Column | str]) -> Column:
-    return F.row_number().over(window(by, order))
+def rowid(by: Sequence[str], order: Sequence[Column | str], prefix: str | None = None) -> Column:
+    """Number of the row in its group, as text after ``prefix`` if that is given."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return number if prefix is None else F.concat(F.lit(prefix), number.cast("string"))
 
 
 def rleid(columns: Sequence[str], w: WindowSpec) -> Column:
@@ -66,10 +88,12 @@ def rleid(columns: Sequence[str], w: WindowSpec) -> Column:
     return F.when(start | changed, 1).otherwise(0)
 
 
-def with_rleid(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: Sequence[str | Column], name: str = "rleid") -> DataFrame:
-    w = window(by, order)
+def with_rleid(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: Sequence[str | Column], name: str = "rleid", prefix: str | None = None) -> DataFrame:
+    """``df`` with the number of each row's run of equal values, as text after ``prefix`` if that is given."""
+    w = Window.partitionBy(*by).orderBy(*order)
     flagged = df.withColumn("__new", rleid(columns, w))
-    return flagged.withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    number = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.withColumn(name, number if prefix is None else F.concat(F.lit(prefix), number.cast("string"))).drop("__new")
 
 
 def nafill(x: Column | str, w: WindowSpec, kind: str = "locf", fill=None, limit: int | None = None, nan_missing: bool = False) -> Column:
@@ -83,11 +107,10 @@ def nafill(x: Column | str, w: WindowSpec, kind: str = "locf", fill=None, limit:
         known = F.count(x).over(w.rowsBetween(-limit, -1)) > 0 if limit > 0 else F.lit(False)
         opening = (F.count(x).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 0) & (F.row_number().over(w) <= limit)
         return F.when(x.isNull() & (known | opening), lit(fill)).otherwise(x)
-    before = w.rowsBetween(Window.unboundedPreceding, 0) if kind == "locf" else w.rowsBetween(0, Window.unboundedFollowing)
-    found = (F.last if kind == "locf" else F.first)(x, ignorenulls=True).over(before)
-    if limit is not None:
-        near = w.rowsBetween(-limit, 0) if kind == "locf" else w.rowsBetween(0, limit)
-        found = (F.last if kind == "locf" else F.first)(x, ignorenulls=True).over(near)
+    if kind == "nocb":  # from the end, so that no frame reaches from a row to the last one
+        w = w.back
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(x, ignorenulls=True).over(before if limit is None else w.rowsBetween(-limit, 0))
     if fill is None:
         return found
     # A gap at the open end has no value to carry: its first rows (nocb: last rows) take ``fill``, ``limit`` of them at most.
@@ -97,6 +120,16 @@ def nafill(x: Column | str, w: WindowSpec, kind: str = "locf", fill=None, limit:
     return F.when(opening, lit(fill)).otherwise(found)
 
 
+def nafill_spread(df: DataFrame, x: str, by: Sequence[str], order: Sequence[str], name: str, kind: str = "locf", fill=None, nan_missing: bool = False) -> DataFrame:
+    """``df`` with missing values of x filled from the row before (locf) or after (nocb), however large one group is.
+
+    Runs at once: groups are cut into sorted ranges, and what a range ends with goes on to the next one.
+    """
+    value = not_nan(F.col(x)) if nan_missing else F.col(x)
+    out = carry_last(df, by, [F.asc(o) if kind == "locf" else F.desc(o) for o in order], value, name)
+    return out if fill is None else out.withColumn(name, F.coalesce(name, lit(fill)))
+
+
 _IDENTITY = {"mean": float("nan"), "sum": 0.0, "max": float("-inf"), "min": float("inf"), "prod": 1.0, "median": None, "var": None, "sd": None}
 _ROLL: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -113,6 +146,7 @@ _ROLL: dict[str, Callable[[Column], Column]] = {
 def froll(f: str, x: Column | str, n: int, w: WindowSpec, align: str = "right", fill=None, na_rm: bool = False, partial: bool = False) -> Column:
     """Rolling aggregate over n rows. Incomplete windows give ``fill``, or are used with ``partial``."""
     x = col(x).cast("double")
+    x = not_nan(x) if na_rm else x
     if n == 0:
         return F.lit(_IDENTITY[f]).cast("double")
     back = {"right": n - 1, "left": 0, "center": n - 1 - n // 2}[align]
@@ -122,7 +156,7 @@ def froll(f: str, x: Column | str, n: int, w: WindowSpec, align: str = "right",
     if na_rm:
         value = value if _IDENTITY[f] is None else F.coalesce(value, F.lit(_IDENTITY[f]))
     else:
-        value = F.when(known == rows, value)
+        value = F.when(known == rows, F.when(F.max(F.isnan(x)).over(frame), F.lit(float("nan"))).otherwise(value))
     return value if partial else F.when(rows == n, value).otherwise(lit(fill).cast("double"))
 
 
@@ -168,7 +202,8 @@ def froll_adaptive(df: DataFrame, f: str, x: str, n: str, by: Sequence[str], ord
         raise ValueError("adaptive windows are aligned right or left")
     w = window(by, order)
     frame = w.rowsBetween(-(most - 1), 0) if align == "right" else w.rowsBetween(0, most - 1)
-    gathered = F.collect_list(F.struct(F.col(x).cast("double").alias("v"))).over(frame)
+    number = F.col(x).cast("double")
+    gathered = F.collect_list(F.struct((not_nan(number) if na_rm else number).alias("v"))).over(frame)
     size = F.col(n).cast("int")
     taken = F.least(F.greatest(size, F.lit(0)), F.size("__w"))
     start = F.size("__w") - taken + 1 if align == "right" else F.lit(1)
@@ -179,14 +214,18 @@ def froll_adaptive(df: DataFrame, f: str, x: str, n: str, by: Sequence[str], ord
     if _IDENTITY[f] is not None:
         value = F.coalesce(value, F.lit(_IDENTITY[f]))
     if not na_rm:
+        value = F.when(F.exists("__p", F.isnan), F.lit(float("nan"))).otherwise(value)
         value = F.when(~F.exists("__p", lambda v: v.isNull()), value)
     whole = value if partial else F.when(F.size("__w") >= size, value).otherwise(lit(fill).cast("double"))
     return rows.withColumn(name, F.when(size.between(0, most), whole)).drop("__w", "__p")
 
 
-def frolladapt(index: Column | str, n: int, by: Sequence[str | Column]) -> Column:
-    """How many rows lie within the last n units of an increasing index."""
-    return F.count(F.lit(1)).over(Window.partitionBy(*by).orderBy(index).rangeBetween(-(n - 1), 0))
+def frolladapt(index: Column | str, n: int, by: Sequence[str | Column], partial: bool = False) -> Column:
+    """How many rows lie within the last n units of an increasing index; n where those reach before the first row, unless ``partial``."""
+    w = Window.partitionBy(*by).orderBy(index)
+    rows = F.count(F.lit(1)).over(w.rangeBetween(-(n - 1), 0))
+    early = col(index) < F.first(col(index)).over(w.rowsBetween(Window.unboundedPreceding, 0)) + (n - 1)
+    return rows if partial else F.when(early, F.lit(n).cast("long")).otherwise(rows)
 
 
 def frollapply(df: DataFrame, f: Callable, x: Sequence[str], n: int | str, by: Sequence[str], order: Sequence[str], name: str, align: str = "right", fill: float | None = None, partial: bool = False) -> DataFrame:
