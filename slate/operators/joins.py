@@ -14,6 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slate.operators.rows import number_rows
+from slate.operators.spread import carry_last
+
 OPS = {"==": "==", "=": "==", "<=": "<=", "<": "<", ">=": ">=", ">": ">"}
 
 
@@ -68,28 +71,79 @@ def _project(joined: DataFrame, x: DataFrame, i: DataFrame, on: list[On]) -> Dat
     return joined.select(*left, *right)
 
 
-def join(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], nomatch: str | None = "NA", mult: str = "all", order: Sequence[str | Column] = ()) -> DataFrame:
-    """Rows of i with their matches in x. ``mult`` takes the first or last match by ``order``, or all; ``error`` raises on several."""
+def _repeat(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, which goes; no row is held more than 100,000 times at once."""
+    block = 100_000
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / block)))
+    inside = F.explode(F.sequence(F.lit(1), F.least(F.lit(block), F.col(times) - F.col("__block") * block).cast("int")))
+    return df.withColumn("__block", blocks).withColumn("__copy", inside).drop("__block", "__copy", times)
+
+
+def _counted(df: DataFrame) -> DataFrame:
+    """The distinct rows with their number in ``__times``: what a row matches follows from its content, so no row ids are needed."""
+    return df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("__times"))
+
+
+def _tests(conditions: Sequence[On]) -> Column:
+    return reduce(lambda p, q: p & q, [o.test() for o in conditions])
+
+
+def _guard(x: DataFrame, i: DataFrame, conditions: Sequence[On], cartesian: bool, many: bool) -> None:
+    """Count beforehand, by keys where all conditions are equal, what a join would give."""
+    if cartesian and many:
+        return
+    left, right = (t.groupBy(*[F.col(f"`{getattr(o, side)}`").alias(getattr(o, side)) for o in conditions]).agg(F.count("*").alias("__n")) for t, side in ((x, "x"), (i, "i")))
+    both = left.alias("x").join(right.alias("i"), _tests(conditions))
+    row = both.agg(F.sum(F.col("x.__n") * F.col("i.__n")).alias("rows"), F.max(F.least("x.__n", "i.__n")).alias("least"), F.max("i.__n").alias("dups")).first()
+    if not many and all(o.op == "==" for o in conditions) and (row["least"] or 0) > 1:
+        raise ValueError("a key repeats in both tables; allow it by many=True")
+    if not cartesian and (row["dups"] or 0) > 1 and row["rows"] > (total := x.count() + i.count()):
+        raise ValueError(f"the join gives {row['rows']} rows, more than both tables have ({total}); allow it by cartesian=True")
+
+
+def join(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], nomatch: str | None = "NA", mult: str = "all", order: Sequence[str | Column] = (), cartesian: bool = True, many: bool = True) -> DataFrame:
+    """Rows of i with their matches in x. ``mult`` takes the first or last match by ``order``, or all; ``error`` raises if a row of i has several.
+
+    ``cartesian=False`` raises if i repeats keys and the result is longer than both tables, ``many=False`` if a key repeats
+    in both; these two count at once.
+    """
     conditions = parse_on(on, x, i)
     _types(x, i, conditions)
-    equal = [o.x for o in conditions if o.op == "=="]
+    _guard(x, i, conditions, cartesian, many)
+    if mult in ("first", "last") and not order:
+        raise ValueError(f"mult={mult!r} needs an order")
     how = "left" if nomatch is not None else "inner"
-    columns = x.columns
-    if mult != "all" and len(equal) == len(conditions):
-        ranked = x.withColumn("__rn", F.row_number().over(Window.partitionBy(*equal).orderBy(*(_turn(order) if mult == "last" else order or [F.lit(1)]))))
-        if mult == "error":
-            ranked = ranked.withColumn("__rn", F.when(F.col("__rn") > 1, F.raise_error(F.lit("several rows of x match")).cast("int")).otherwise(1))
-        x = ranked.where("__rn = 1").drop("__rn")
+    columns, equal = x.columns, [o.x for o in conditions if o.op == "=="]
+    if mult in ("first", "last") and len(equal) == len(conditions):
+        by = _turn(order) if mult == "last" else order
+        x = x.withColumn("__rn", F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in equal]).orderBy(*by))).where("__rn = 1").drop("__rn")
         mult = "all"
-    if mult != "all":
-        i = i.withColumn("__irid", F.monotonically_increasing_id())
-    a, b = x.alias("x"), i.alias("i")
-    joined = b.join(a, reduce(lambda p, q: p & q, [o.test() for o in conditions]), how)
-    if mult != "all":
-        by = [F.col(f"x.{o}") if isinstance(o, str) else o for o in (_turn(order, "x.") if mult == "last" else order)]
-        joined = joined.withColumn("__rn", F.row_number().over(Window.partitionBy("__irid").orderBy(*by))).where("__rn = 1")
-        i = i.drop("__irid")
-    return _project(joined, x.select(columns), i, conditions)
+    if mult == "all":
+        return _project(i.alias("i").join(x.alias("x"), _tests(conditions), how), x.select(*[F.col(f"`{c}`") for c in columns]), i, conditions)
+    single = _counted(i)
+    row = F.struct(*[F.col(f"x.`{c}`").alias(c) for c in columns])
+    joined = single.alias("i").join(x.withColumn("__hit", F.lit(1)).alias("x"), _tests(conditions), how)
+    grouped = joined.groupBy(*[F.col(f"i.`{c}`").alias(f"__i_{c}") for c in single.columns])
+    if mult == "error":
+        hits, found = F.count("x.__hit"), F.first(row)
+        found = F.when(hits > 1, F.raise_error(F.lit("several rows of x match")).cast(joined.select(row.alias("r")).schema["r"].dataType)).otherwise(found)
+    else:
+        by = F.struct(*[F.col(f"x.`{o}`") if isinstance(o, str) else o for o in order])
+        found = (F.min_by if mult == "first" else F.max_by)(row, F.when(F.col("x.__hit") == 1, by))
+    picked = _repeat(grouped.agg(found.alias("__x")), "__i___times")
+    sided = picked.select(F.struct(*[F.col(f"`__i_{c}`").alias(c) for c in i.columns]).alias("i"), F.col("__x").alias("x"))
+    return _project(sided, x.select(*[F.col(f"`{c}`") for c in columns]), i, conditions)
+
+
+def matches(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], order: Sequence[str | Column], name: str = "which") -> DataFrame:
+    """Row numbers (from 1, in x's ``order``) of the rows of x that rows of i match, null for a row without a match."""
+    return join(number_rows(x, order, name), i, on).select(name)
+
+
+def unmatched(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], order: Sequence[str | Column], name: str = "which") -> DataFrame:
+    """Row numbers (from 1, in i's ``order``) of the rows of i that match nothing in x."""
+    conditions = parse_on(on, x, i)
+    return number_rows(i, order, name).alias("i").join(x.alias("x"), _tests(conditions), "left_anti").select(name)
 
 
 def _turn(order: Sequence[str | Column], prefix: str = "") -> list[Column]:
@@ -111,12 +165,12 @@ def each_i(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], aggs:
     In ``aggs`` columns are named ``x.a`` and ``i.b``.
     """
     conditions = parse_on(on, x, i)
-    numbered = i.withColumn("__irid", F.monotonically_increasing_id())
+    single = _counted(i)
     marked = x.withColumn("__hit", F.lit(1))
-    joined = numbered.alias("i").join(marked.alias("x"), reduce(lambda p, q: p & q, [o.test() for o in conditions]), "left")
+    joined = single.alias("i").join(marked.alias("x"), _tests(conditions), "left")
     n = [F.count("x.__hit").alias(count)] if count else []
-    keep = [F.col(f"i.`{c}`").alias(c) for c in i.columns]
-    return joined.groupBy("i.__irid", *keep).agg(*n, *[c.alias(k) for k, c in aggs.items()]).drop("__irid")
+    keep = [F.col(f"i.`{c}`").alias(c) for c in single.columns]
+    return _repeat(joined.groupBy(*keep).agg(*n, *[c.alias(k) for k, c in aggs.items()]), "__times")
 
 
 def update_on(x: DataFrame, i: DataFrame, on: Sequence[str], values: dict[str, str], order: Sequence[str]) -> DataFrame:
@@ -128,48 +182,53 @@ def update_on(x: DataFrame, i: DataFrame, on: Sequence[str], values: dict[str, s
     return joined.select(*out)
 
 
-def rolling(x: DataFrame, i: DataFrame, equal: Sequence[str], along: str, roll: float | str | bool = True, rollends: tuple[bool, bool] | None = None, order: Sequence[str] = (), nomatch: str | None = "NA") -> DataFrame:
+def rolling(x: DataFrame, i: DataFrame, equal: Sequence[str], along: str, roll: float | str | bool = True, rollends: tuple[bool, bool] | None = None, order: Sequence[str] = (), nomatch: str | None = "NA", spread: bool | None = None) -> DataFrame:
     """As-of join: all x rows that match exactly, else the prevailing one before (roll > 0), after (< 0) or nearest.
 
     A finite ``roll`` limits the distance, limit included; ``nearest`` prefers the lower at equal distance. ``rollends``
     says whether rows before the first or after the last x row of a group are filled too. ``order`` breaks ties of
     ``along`` in x. One shuffle by the equal columns serves both sides: x and i are stacked and a running window
-    carries the last x row. The result has i's columns, then x's others, and ``x.<along>``.
+    carries the last x row. ``spread`` (always without equal columns) cuts groups into sorted ranges instead, so that no
+    group has to fit a task; it runs at once. The result has i's columns, then x's others, and ``x.<along>``.
     """
     nearest = roll == "nearest"
     forward = not nearest and roll is not True and float(roll) < 0
     limit = None if nearest or roll is True or abs(float(roll)) == float("inf") else abs(float(roll))
     lo, hi = rollends if rollends is not None else (True, True) if nearest else (True, False) if forward else (False, True)
+    kind = dict(i.dtypes)[along]
+    if kind == "string" and (nearest or limit is not None):
+        raise TypeError(f"{along}: strings have no distance to roll by")
     extra = [c for c in x.columns if c not in equal and c != along]
     names = {c: f"x.{c}" if c in i.columns else c for c in extra}
     payload = F.struct(F.col(along).alias("__t"), *[F.col(c).alias(names[c]) for c in extra])
-    marked = i.withColumn("__irid", F.monotonically_increasing_id())
-    right = x.select(*equal, F.col(along).alias("__at"), F.lit(0).alias("__side"), F.struct(*order).alias("__o") if order else F.struct(F.lit(0)).alias("__o"), payload.alias("__x"), F.lit(None).cast("struct<" + ",".join(f"`{c}`:{t}" for c, t in marked.dtypes) + ">").alias("__i"))
-    left = marked.select(*equal, F.col(along).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema["__o"].dataType).alias("__o"), F.lit(None).cast(right.schema["__x"].dataType).alias("__x"), F.struct(*marked.columns).alias("__i"))
+    right = x.select(*equal, F.col(along).alias("__at"), F.lit(0).alias("__side"), F.struct(*order).alias("__o") if order else F.struct(F.lit(0)).alias("__o"), payload.alias("__x"), F.lit(None).cast("struct<" + ",".join(f"`{c}`:{t}" for c, t in i.dtypes) + ">").alias("__i"))
+    left = i.select(*equal, F.col(along).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema["__o"].dataType).alias("__o"), F.lit(None).cast(right.schema["__x"].dataType).alias("__x"), F.struct(*i.columns).alias("__i"))
     both = right.unionByName(left)
-    w = Window.partitionBy(*equal).orderBy("__at", "__side", "__o")
-    number = dict(i.dtypes)[along] in ("int", "bigint", "double", "float", "smallint", "tinyint")
+    number = kind in ("int", "bigint", "double", "float", "smallint", "tinyint")
 
     def gap(a: Column, b: Column) -> Column:
         return (a - b).cast("double") if number else (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 1e6
 
-    down = Window.partitionBy(*equal).orderBy("__at", F.desc("__side"), "__o")
-    columns = {"__before": F.last("__x", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))}
-    if nearest or forward or lo:
-        columns["__after"] = F.first("__x", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
-    if not nearest and not forward and not hi or forward and hi or nearest:
-        columns.setdefault("__after", F.first("__x", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing)))
-    found = both.withColumns(columns).where("__side = 1")
+    # Both frames begin at a group's end and stop at the row: down the order for the row before, up it for the row after.
+    orders = {"__before": [F.asc("__at"), F.asc("__side"), F.asc("__o")]}
+    if nearest or forward or lo or not hi:
+        orders["__after"] = [F.desc("__at"), F.asc("__side"), F.desc("__o")]
+    if spread or (spread is None and not equal):
+        for name, by in orders.items():
+            both = carry_last(both, equal, by, F.col("__x"), name)
+    else:
+        both = both.withColumns({name: F.last("__x", ignorenulls=True).over(Window.partitionBy(*equal).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)) for name, by in orders.items()})
+    found = both.where("__side = 1")
     at, before = F.col("__at"), F.col("__before")
-    after = F.col("__after") if "__after" in columns else F.lit(None)
-    inner_down = before if hi or "__after" not in columns else F.when(after.isNotNull(), before)
+    after = F.col("__after") if "__after" in orders else F.lit(None)
     if nearest:
         pick = F.when(before.isNull(), F.when(F.lit(lo), after)).when(after.isNull(), F.when(F.lit(hi), before)).when(gap(at, before["__t"]) <= gap(after["__t"], at), before).otherwise(after)
     elif forward:
         pick = F.when(before.isNotNull() | F.lit(lo), after)
         pick = F.coalesce(pick, F.when(after.isNull() & F.lit(hi), before))
     else:
-        pick = F.coalesce(inner_down, F.when(before.isNull() & F.lit(lo), after)) if lo else inner_down
+        pick = before if hi else F.when(after.isNotNull(), before)
+        pick = F.coalesce(pick, F.when(before.isNull() & F.lit(lo), after)) if lo else pick
     if limit is not None:
         pick = F.when(F.abs(gap(at, pick["__t"])) - limit <= 1e-6, pick)
     rolled = found.select("__i", F.when(at.isNotNull(), pick).alias("__x"))
@@ -184,40 +243,72 @@ def rolling(x: DataFrame, i: DataFrame, equal: Sequence[str], along: str, roll:
     return every.select(*[F.col("__i")[c].alias(c) for c in i.columns], F.col("__x")["__t"].alias(f"x.{along}"), *[F.col("__x")[names[c]].alias(names[c]) for c in extra])
 
 
-def overlaps(x: DataFrame, y: DataFrame, equal: Sequence[str], x_span: tuple[str, str], y_span: tuple[str, str], kind: str = "any", width: float | None = None, nomatch: str | None = "NA") -> DataFrame:
+def _interval(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """``df``, whose intervals are checked as they are read: a missing end, or a start beyond its end, is an error."""
+    a, b = F.col(f"`{lo}`"), F.col(f"`{hi}`")
+    bad = F.raise_error(F.concat(F.lit(f"no interval from {lo} to {hi}: "), F.coalesce(a.cast("string"), F.lit("missing")), F.lit(", "), F.coalesce(b.cast("string"), F.lit("missing"))))
+    return df.withColumn(lo, F.when(a.isNull() | b.isNull() | (a > b), bad.cast(df.schema[lo].dataType)).otherwise(a))
+
+
+def overlaps(x: DataFrame, y: DataFrame, equal: Sequence[str], x_span: tuple[str, str], y_span: tuple[str, str], kind: str = "any", width: float | None = None, nomatch: str | None = "NA", mult: str = "all", order: Sequence[str] = ()) -> DataFrame:
     """Rows of x with y's intervals: any overlap, x within y, or equal start, end or both. Ends belong to intervals.
 
-    With ``width`` intervals are dealt to bins of that size and joined bin by bin: a pair meets in the bin where the
-    later of the two begins, so no pair comes twice; without it, and without equal columns, plans are nested loops.
+    The result has the equal columns, y's others, then x's others (``i.`` before a name that clashes). ``mult`` takes the first
+    or last row of y by ``order``. A missing end, or a start beyond its end, is an error. With ``width`` intervals are
+    dealt to bins of that size and joined bin by bin: a pair meets in the bin where the later of the two begins, so
+    no pair comes twice; without it, and without equal columns, plans are nested loops.
     """
+    if mult != "all" and not order:
+        raise ValueError(f"mult={mult!r} needs an order")
     (a, b), (c, d) = x_span, y_span
-    xs = x.withColumn("__xid", F.monotonically_increasing_id()) if width else x
+    x, y = _interval(x, a, b), _interval(y, c, d)
+    single = _counted(x) if mult != "all" else x
     xa, xb, ya, yb = F.col(f"x.`{a}`"), F.col(f"x.`{b}`"), F.col(f"y.`{c}`"), F.col(f"y.`{d}`")
     test = {"any": (ya <= xb) & (yb >= xa), "within": (xa >= ya) & (xb <= yb), "start": xa == ya, "end": xb == yb, "equal": (xa == ya) & (xb == yb)}[kind]
     for k in equal:
         test = test & F.col(f"x.`{k}`").eqNullSafe(F.col(f"y.`{k}`"))
-    right = [F.col(f"y.`{n}`").alias(n if n not in x.columns else f"y.{n}") for n in y.columns if n not in equal]
+    rows = [F.struct(*[F.col(f"{side}.`{n}`").alias(n) for n in t.columns]).alias(side) for side, t in (("x", single), ("y", y))]
     if not width:
-        joined = x.alias("x").join(y.alias("y"), test, "left" if nomatch is not None else "inner")
-        return joined.select(*[F.col(f"x.`{n}`") for n in x.columns], *right)
+        pairs = single.alias("x").join(y.alias("y"), test, "left" if nomatch is not None else "inner").select(*rows)
+        pairs = pairs.withColumn("y", F.when(F.col(f"y.`{c}`").isNotNull(), F.col("y")))
+    else:
 
-    def bins(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
+        def bins(lo: str, hi: str) -> Column:
+            return F.explode(F.sequence(F.floor(F.col(f"`{lo}`") / width), F.floor(F.col(f"`{hi}`") / width)))
 
-    xb_, yb_ = xs.where(f"`{a}` <= `{b}`").withColumn("__bin", bins(a, b)), y.where(f"`{c}` <= `{d}`").withColumn("__bin", bins(c, d))
-    met = xb_.alias("x").join(yb_.alias("y"), (F.col("x.__bin") == F.col("y.__bin")) & (F.floor(F.greatest(xa, ya) / width) == F.col("x.__bin")) & test)
-    pairs = met.select(*[F.col(f"x.`{n}`") for n in xs.columns], *right)
-    if nomatch is None:
-        return pairs.drop("__xid")
-    alone = x.alias("x").join(y.alias("y"), test, "left_anti") if equal else xs.join(pairs.select("__xid").distinct(), "__xid", "left_anti").drop("__xid")
-    return pairs.drop("__xid").unionByName(alone, allowMissingColumns=True)
+        met = single.withColumn("__bin", bins(a, b)).alias("x").join(y.withColumn("__bin", bins(c, d)).alias("y"), (F.col("x.__bin") == F.col("y.__bin")) & (F.floor(F.greatest(xa, ya) / width) == F.col("x.__bin")) & test)
+        pairs = met.select(*rows)
+        if nomatch is not None:  # whether a row matches follows from its interval and equal columns
+            had = pairs.select(*[F.col(f"x.`{n}`").alias(f"__h{k}") for k, n in enumerate([a, b, *equal])]).distinct()
+            same = reduce(lambda p, q: p & q, [F.col(f"`{n}`").eqNullSafe(F.col(f"__h{k}")) for k, n in enumerate([a, b, *equal])])
+            alone = single.join(had, same, "left_anti").select(F.struct(*[F.col(f"`{n}`").alias(n) for n in single.columns]).alias("x"))
+            pairs = pairs.union(alone.withColumn("y", F.lit(None).cast(pairs.schema["y"].dataType)))
+    if mult != "all":
+        by = F.struct(*[F.col(f"y.`{o}`") for o in order])
+        pairs = pairs.groupBy("x").agg((F.min_by if mult == "first" else F.max_by)("y", F.when(F.col("y").isNotNull(), by)).alias("y"))
+        pairs = _repeat(pairs.withColumn("__times", F.col("x.__times")), "__times")
+    theirs = [n for n in y.columns if n not in equal]
+    ours = [F.col(f"x.`{n}`").alias(f"i.{n}" if n in theirs else n) for n in x.columns if n not in equal]
+    return pairs.select(*[F.col(f"x.`{k}`").alias(k) for k in equal], *[F.col(f"y.`{n}`").alias(n) for n in theirs], *ours)
 
 
-def merge(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, all_x: bool = False, all_y: bool = False, suffixes: tuple[str, str] = (".x", ".y"), sort: bool = False, incomparables: Sequence = ()) -> DataFrame:
-    """SQL-style merge; shared names by default, clashing others get suffixes, keys come first.
+def overlap_rows(x: DataFrame, y: DataFrame, equal: Sequence[str], x_span: tuple[str, str], y_span: tuple[str, str], order_x: Sequence[str], order_y: Sequence[str], **kw) -> DataFrame:
+    """Row numbers (xid, yid; from 1, in each table's order) of the pairs that ``overlaps`` finds."""
+    return overlaps(number_rows(x, order_x, "xid"), number_rows(y, order_y, "yid"), equal, x_span, y_span, **kw).select("xid", "yid")
 
-    Rows whose key holds one of ``incomparables`` (None: missing) match nothing.
+
+def merge(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, all_x: bool = False, all_y: bool = False, suffixes: tuple[str, str] = (".x", ".y"), sort: bool = False, incomparables: Sequence = (), by_x: Sequence[str] | None = None, by_y: Sequence[str] | None = None) -> DataFrame:
+    """SQL-style merge; shared names by default, clashing others get suffixes, keys come first, under x's names.
+
+    ``by_x`` and ``by_y`` name keys that are called otherwise in the two tables. Rows whose key holds one of
+    ``incomparables`` (None: missing) match nothing.
     """
+    if (by_x is None) != (by_y is None) or (by_x is not None and (by is not None or len(by_x) != len(by_y))):
+        raise ValueError("give by, or as many names in by_x as in by_y")
+    if by_x is not None:
+        clash = set(by_x) & set(y.columns) - set(by_y)
+        y = y.withColumnsRenamed({c: c + suffixes[1] for c in clash} | {b: a for a, b in zip(by_x, by_y, strict=True)})
+        by = by_x
     by = list(by) if by is not None else natural(x, y)
     how = {(False, False): "inner", (True, False): "left", (False, True): "right", (True, True): "full"}[all_x, all_y]
     clash = set(x.columns) & set(y.columns) - set(by)
@@ -231,30 +322,45 @@ def merge(x: DataFrame, y: DataFrame, by: Sequence[str] | None = None, all_x: bo
     return out.orderBy(*by) if sort else out
 
 
-def merge_list(tables: Sequence[DataFrame], on: Sequence[str], how: str = "left", mult: str = "error", order: Sequence[str] = ()) -> DataFrame:
-    """Fold of merges from the left: left, inner, full, right, semi, anti or cross.
+def merge_list(tables: Sequence[DataFrame], on: Sequence[str] | Sequence[Sequence[str]], how: str | Sequence[str] = "left", mult: str | None | Sequence[str | None] = None, order: Sequence[str] = (), many: bool = True) -> DataFrame:
+    """Fold of merges from the left: left, inner, full, right, semi, anti or cross; ``on``, ``how`` and ``mult`` for all steps, or a list of one each.
 
-    ``mult`` takes the first or last row of a key (all, or ``error`` if a key repeats) on the side that is looked up;
-    inner and full merges with first or last take one row of a key on both sides.
+    ``mult`` takes the first or last row of a key by ``order`` (all, or ``error`` if a key repeats) on the side that is looked up;
+    inner and full merges with first or last take one row of a key on both sides. By default it is ``error``. ``many=False``
+    raises if a key repeats on both sides of a step.
     """
-    def single(t: DataFrame) -> DataFrame:
-        by = _turn(order) if mult == "last" else [F.col(o) for o in order] or [F.lit(1)]
-        t = t.withColumn("__rn", F.row_number().over(Window.partitionBy(*on).orderBy(*by)))
-        if mult == "error":
-            t = t.withColumn("__rn", F.when(F.col("__rn") > 1, F.raise_error(F.lit("a key repeats")).cast("int")).otherwise(1))
-        return t.where("__rn = 1").drop("__rn")
-
-    def step(a: DataFrame, b: DataFrame) -> DataFrame:
-        if how == "cross":
-            return a.crossJoin(b)
-        if how in ("semi", "anti"):
-            return {"semi": semi, "anti": anti}[how](a, b, on)
-        if mult != "all":
-            both = how in ("inner", "full") and mult != "error"
-            a, b = single(a) if both or how == "right" else a, single(b) if both or how != "right" else b
-        return merge(a, b, on, how in ("left", "full"), how in ("right", "full"))
-
-    return reduce(step, tables)
+    steps = len(tables) - 1
+    ons = [list(on)] * steps if not on or isinstance(on[0], str) else [list(o) for o in on]
+    hows, mults = ([v] * steps if v is None or isinstance(v, str) else list(v) for v in (how, mult))
+    if not len(ons) == len(hows) == len(mults) == steps:
+        raise ValueError(f"{steps} steps need as many of on, how and mult")
+
+    def single(t: DataFrame, on: Sequence[str], mult: str) -> DataFrame:
+        keys = [F.col(f"`{c}`") for c in on]
+        by = [o for o in order if o in t.columns]
+        if not by:
+            raise ValueError(f"mult={mult!r} needs an order")
+        return t.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*(_turn(by) if mult == "last" else by)))).where("__rn = 1").drop("__rn")
+
+    out = tables[0]
+    for b, on_, how_, mult_ in zip(tables[1:], ons, hows, mults, strict=True):
+        if how_ == "cross":
+            out = out.crossJoin(b)
+            continue
+        _guard(out, b, [On(c, "==", c) for c in on_], True, many)
+        if how_ in ("semi", "anti"):
+            out = {"semi": semi, "anti": anti}[how_](out, b, on_)
+            continue
+        if mult_ in ("first", "last"):
+            both = how_ in ("inner", "full")
+            out, b = single(out, on_, mult_) if both or how_ == "right" else out, single(b, on_, mult_) if both or how_ != "right" else b
+        elif mult_ in (None, "error"):  # repeated keys on the side that is looked up are an error once a row matches them
+            repeated, marked = F.count("*").over(Window.partitionBy(*[F.col(f"`{c}`") for c in on_])) > 1, F.lit(True)
+            out, b = (out.withColumn("__many", repeated), b.withColumn("__met", marked)) if how_ == "right" else (out.withColumn("__met", marked), b.withColumn("__many", repeated))
+        out = merge(out, b, on_, how_ in ("left", "full"), how_ in ("right", "full"))
+        if mult_ in (None, "error"):
+            out = out.where(F.when(F.col("__many") & F.col("__met"), F.raise_error(F.lit("a key repeats")).cast("boolean")).otherwise(F.lit(True))).drop("__many", "__met")
+    return out
 
 
 def cross(**values: Sequence) -> tuple[list[str], list[tuple]]:

@@ -42,6 +42,22 @@ def match_position(x: DataFrame, column: str, table: DataFrame, table_column: st
     return x.join(first, F.col(column).eqNullSafe(F.col("__value")), "left").drop("__value")
 
 
+def match_position_each(x: DataFrame, column: str, order_x: Sequence[Column | str], table: DataFrame, table_column: str, order: Sequence[Column | str], name: str = "position") -> DataFrame:
+    """As ``match_position``, but the k-th row of a value takes the value's k-th position in the table, so none is taken twice."""
+    numbered = number_rows(table.select(F.col(table_column).alias("__value"), *[col(o).alias(f"__o{k}") for k, o in enumerate(order)]), [f"__o{k}" for k in range(len(order))], name)
+    placed = numbered.select("__value", name, F.row_number().over(Window.partitionBy("__value").orderBy(name)).alias("__k2"))
+    counted = x.withColumn("__k", F.row_number().over(Window.partitionBy(column).orderBy(*order_x)))
+    return counted.join(placed, F.col(column).eqNullSafe(F.col("__value")) & (F.col("__k") == F.col("__k2")), "left").drop("__value", "__k", "__k2")
+
+
+def is_sorted(df: DataFrame, columns: Sequence[str], order: Sequence[Column | str], strictly: bool = False) -> bool:
+    """Whether, along ``order``, no row (``strictly``: no equal row either) is before the one above it by ``columns``, missing first."""
+    numbered = number_rows(df, order, "__place").select("__place", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__now"))
+    above = numbered.select((F.col("__place") + 1).alias("__place"), F.col("__now").alias("__above"))
+    bad = F.col("__above") >= F.col("__now") if strictly else F.col("__above") > F.col("__now")
+    return numbered.join(above, "__place").where(bad).isEmpty()
+
+
 def group_index(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "group") -> DataFrame:
     """A row for each group, numbered from 1 by first appearance in ``order``; the last number is how many there are."""
     firsts = df.groupBy(*by).agg(F.min(F.struct(*[col(o).alias(f"o{k}") for k, o in enumerate(order)])).alias("__first"))

@@ -79,15 +79,36 @@ def bind_rows(tables: Sequence[DataFrame] | dict[str, DataFrame], use_names: boo
 
 
 def bind_columns(a: DataFrame, b: DataFrame, order_a: Sequence[Column | str], order_b: Sequence[Column | str]) -> DataFrame:
-    """Side by side, by position in each table's order; runs at once. Rows beyond the shorter table's end go."""
+    """Side by side, by position in each table's order; runs at once. Tables of different length are an error."""
+    sizes = a.count(), b.count()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"tables of {sizes[0]} and {sizes[1]} rows can't stand side by side")
     return number_rows(a, order_a, "__rn").join(number_rows(b, order_b, "__rn"), "__rn").drop("__rn")
 
 
-def split(df: DataFrame, by: str, values: Sequence | None = None, most: int = 1000) -> dict[object, DataFrame]:
-    """A lazy table for each value; values are looked up (at most ``most``) unless given."""
+def split(df: DataFrame, by: str | Sequence[str], values: Sequence | None = None, most: int = 1000, keep_by: bool = True, flatten: bool = True) -> dict[object, DataFrame]:
+    """A lazy table for each value; values are looked up (at most ``most``) unless given, and sorted, missing first.
+
+    Several columns make a table for each combination, under a tuple, or with ``flatten=False`` dictionaries within dictionaries.
+    """
+    if not isinstance(by, str):
+        if values is None:
+            found = df.select(*by).distinct().limit(most + 1).collect()
+            if len(found) > most:
+                raise ValueError(f"more than {most} combinations")
+            values = sorted((tuple(r) for r in found), key=lambda t: [(v is not None, v) for v in t])
+        out: dict[object, object] = {}
+        for v in values:
+            part = df.where(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(x)) for c, x in zip(by, v, strict=True)]))
+            part, at = part if keep_by else part.drop(*by), out
+            for x in v[:-1] if not flatten else ():
+                at = at.setdefault(x, {})
+            at[v if flatten else v[-1]] = part
+        return out
     if values is None:
         found = df.select(by).distinct().limit(most + 1).collect()
         if len(found) > most:
             raise ValueError(f"{by} has more than {most} values")
         values = sorted((r[0] for r in found), key=lambda v: (v is not None, v))
-    return {v: df.where(F.col(by).eqNullSafe(F.lit(v))) for v in values}
+    parts = {v: df.where(F.col(by).eqNullSafe(F.lit(v))) for v in values}
+    return parts if keep_by else {v: p.drop(by) for v, p in parts.items()}
