@@ -289,7 +289,7 @@ def froll_adaptive(t):
     return W.froll_adaptive(sized, "sum", "value", "n", ["user_id"], ["ts"], "total", 4).select("event_id", r4(F.col("total")).alias("total"))
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 499 PRECEDING AND CURRENT ROW) AS n FROM events")
+@query("SELECT event_id, CASE WHEN event_id < min(event_id) OVER (PARTITION BY user_id) + 499 THEN 500 ELSE count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 499 PRECEDING AND CURRENT ROW) END AS n FROM events")
 def frolladapt(t):
     return t("events").select("event_id", W.frolladapt("event_id", 500, ["user_id"]).alias("n"))
 
@@ -447,7 +447,7 @@ def bind_rows(t):
 
 @query("SELECT a.n_name, b.c_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) AS rn FROM nation) a JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) b USING (rn)")
 def bind_columns(t):
-    return U.bind_columns(t("nation").select("n_name"), t("customer").select("c_name", "c_custkey"), ["n_name"], ["c_custkey"]).select("n_name", "c_name")
+    return U.bind_columns(t("nation").select("n_name"), t("customer").select("c_name", "c_custkey").orderBy("c_custkey").limit(25), ["n_name"], ["c_custkey"]).select("n_name", "c_name")
 
 
 @query("SELECT p_partkey, variable, value FROM (SELECT p_partkey, p_size::DOUBLE AS size, p_retailprice AS price FROM part) UNPIVOT (value FOR variable IN (size, price))")

@@ -128,7 +128,7 @@ def unique_counts(t):
     return A.summarise(x, ["l_suppkey"], {"with_missing": A.unique_n("q"), "known": A.unique_n("q", na_rm=True), "pairs": A.unique_n("l_returnflag", "l_linestatus")})
 
 
-@query(f"""SELECT l_orderkey, round(sum(CASE WHEN q IS NOT NULL THEN q * l_tax END) / nullif(sum(CASE WHEN q IS NOT NULL THEN l_tax END), 0), 6) AS wm, CASE WHEN count(q) = count(*) THEN round(var_samp(q), 4) END AS v,
+@query(f"""SELECT l_orderkey, CASE WHEN coalesce(sum(CASE WHEN q IS NOT NULL THEN l_tax END), 0) = 0 THEN 'nan'::DOUBLE ELSE round(sum(CASE WHEN q IS NOT NULL THEN q * l_tax END) / sum(CASE WHEN q IS NOT NULL THEN l_tax END), 6) END AS wm, CASE WHEN count(q) = count(*) THEN round(var_samp(q), 4) END AS v,
 CASE WHEN count(q) = count(*) THEN round(median(q), 4) END AS med, CASE WHEN count(q) = count(*) THEN max(q) END AS hi FROM (SELECT l_orderkey, l_tax, {_QTY} AS q FROM lineitem) GROUP BY 1""")
 def aggregates_strict(t):
     x = t("lineitem").select("l_orderkey", "l_tax", qty().alias("q"))
