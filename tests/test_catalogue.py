@@ -2,7 +2,7 @@ import pytest
 from compare import differences
 
 import __spark_entry__
-from slate.plans import catalogue, variants  # noqa: F401
+from slate.plans import catalogue, extras, variants  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
