@@ -111,5 +111,41 @@ FROM v JOIN reach r ON r.a = v.vec_id GROUP BY v.vec_id
 """
 
 
+GRAPH_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+), sized AS (
+  SELECT vec_id, x, sqrt(list_reduce(list_transform(x, lambda a: a * a), lambda a, b: a + b)) AS size FROM v
+), scored AS (
+  SELECT q.vec_id AS query_id, o.vec_id, list_reduce(list_transform(list_zip(o.x, q.x), lambda p: p[1] * p[2]), lambda a, b: a + b) / (o.size * q.size) AS score
+  FROM sized q JOIN sized o ON q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= 5
+"""
+
+FOREST_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE list_distinct(w) END AS s FROM words
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets
+), ranked AS (
+  SELECT i.*, row_number() OVER (PARTITION BY doc_id ORDER BY d, s) AS r FROM items i JOIN (SELECT s, count(*) AS d FROM items GROUP BY 1) USING (s)
+), rare AS (
+  SELECT * FROM ranked WHERE r <= n - (80 * n + 99) // 100 + 1
+), pairs AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links AS (
+  SELECT a, b FROM pairs JOIN items x ON x.doc_id = a JOIN items y ON y.doc_id = b AND y.s = x.s GROUP BY a, b, an, bn HAVING 100 * count(*) >= 80 * (an + bn - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_rules": URL_SQL, "op9_metric_join": VECTOR_SQL}
+    return {"op1_ann_graph": GRAPH_SQL, "op4_url_rules": URL_SQL, "op8_minhash_forest": FOREST_SQL, "op9_metric_join": VECTOR_SQL}
