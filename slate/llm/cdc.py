@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slate.llm.common import NOT_SPACE, Texts, passes, range_hashes, save, sequence_hashes, small_batches, splitmix
+from slate.llm.common import NOT_SPACE, Texts, free, passes, range_hashes, save, sequence_hashes, small_batches, splitmix
 
 WORDS, SEED = 51, 26  # over 50 words; a window holds as many seeds as a seed holds words
 LONG = 150
@@ -175,13 +175,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of every document but the first that has them.
 
-    A document that is left without any word goes. Cuts never part a UTF-8 character.
+    A document that is left without any word goes. Cuts never part a UTF-8 character. Rows are cut by doc_id and text, so
+    that rows of one doc_id with other texts are cut each by its own spans; null texts and rows without doc_id stay as they are.
     """
 
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("__spans").to_pylist()):
+            for i, spans in enumerate(batch.column(held).to_pylist()):
                 if not spans:
                     continue
                 raw, at, left = texts[i].encode(), 0, []
@@ -195,11 +196,12 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
                     at = max(at, b)
                 left.append(raw[at:])
                 texts[i] = b" ".join(x for x in left if x).decode()
-            kept = pa.array([t is None or s is None or bool(t.strip()) for t, s in zip(texts, batch.column("__spans").to_pylist(), strict=True)])
+            kept = pa.array([t is None or s is None or bool(t.strip()) for t, s in zip(texts, batch.column(held).to_pylist(), strict=True)])
             out = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
             yield out.select(columns).filter(kept)
 
     columns = docs.columns
-    spans = _found(docs).where("not kept").groupBy(F.col("doc_id").alias("__doc_id"), F.col("text_id").alias("__text_id")).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias("__spans"))
-    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__text_id")), "left").drop("__doc_id", "__text_id")
+    doc, text, held = free(columns, "__doc_id", "__text_id", "__spans")
+    spans = _found(docs).where("not kept").groupBy(F.col("doc_id").alias(doc), F.col("text_id").alias(text)).agg(F.collect_list(F.struct("start_byte", "end_byte")).alias(held))
+    joined = docs.join(spans, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text)), "left").drop(doc, text)
     return joined.mapInArrow(run, docs.schema)

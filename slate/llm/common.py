@@ -21,6 +21,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Helper columns' names, made longer until they aren't among ``columns``."""
+    return [next(n + "_" * k for k in range(len(columns) + 1) if n + "_" * k not in columns) for n in names]
+
+
 # --- hashing -------------------------------------------------------------------------------------
 
 

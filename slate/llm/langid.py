@@ -135,13 +135,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages of every document."""
+    """doc_id, held_out, lang_pred, score, languages of every document.
+
+    A null or empty text is ``und``; a row without doc_id counts as held out; repeated rows get equal answers; an
+    empty table gives none.
+    """
     found = predict(docs, learn(docs, ~held_out(F.col("doc_id"))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
 
 
 def accepted(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """``docs`` without those that have no language, or none that makes up ``least`` of them. Columns are kept."""
+    """``docs`` without those that have no language, or none that makes up ``least`` of them. Columns are kept.
+
+    Null texts and those without a letter go; rows without doc_id and repeated rows are judged like any other. Without
+    languages to learn from all go.
+    """
     names, table = learn(docs, ~held_out(F.col("doc_id")))
     columns, schema = docs.columns, docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.float32))

@@ -5,7 +5,8 @@ frequencies over the whole corpus; ``FILED`` words a template, one a phrase at l
 file's words are looked up there: each posting says where in the file its phrase would begin, and the postings of a phrase
 are intersected by that beginning. As every filed word belongs to a mandatory phrase, no copy is lost by it. What is left must hold all words
 of the phrase; a template's phrases must stand in their order, each at its distance from the first to within ``SLACK``
-words; and of the template's words, each placed by the phrase before it, at least ``COVER`` must be there. The three base
+words; and of the template's words at least ``COVER`` must be there, in the places that the phrase before them gives, or
+in a long text at least in their order. The three base
 phrases are templates that are their own key phrase: all their places are found.
 """
 
@@ -125,10 +126,22 @@ def _placed(i: int, plan: _Plan, found: list[np.ndarray], hashes: np.ndarray, fi
     inside = (spots >= first[doc][:, None]) & (spots < first[doc + 1][:, None])
     share = (inside & (hashes[np.clip(spots, 0, len(hashes) - 1)] == plan.words)).mean(axis=1)
     for s, d, c in zip(starts[0] - plan.keys[0].place, doc, share, strict=True):
+        if c < COVER and len(plan.words) > SLACK:  # a longer text with words put in or left out
+            c = _in_order(plan.words, hashes[max(first[d], s - SLACK) : min(first[d + 1], s + len(plan.words) + SLACK)])
         if c >= COVER:
             yield i, int(d), int(s - first[d]), float(c)
 
 
+def _in_order(words: np.ndarray, window: np.ndarray) -> float:
+    """Share of the words that the window has in their order (longest common subsequence)."""
+    best = np.zeros(len(window) + 1, np.int64)
+    for w in words:
+        found = best.copy()
+        found[1:] = np.maximum(best[1:], best[:-1] + (window == w))
+        best = np.maximum.accumulate(found)
+    return best[-1] / len(words)
+
+
 def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + OWN) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 

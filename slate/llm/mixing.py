@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slate.llm.common import LOWER, NOT_SPACE, Texts, passes, range_hashes, save, small_batches
+from slate.llm.common import LOWER, NOT_SPACE, Texts, free, passes, range_hashes, save, small_batches
 
 BITS, SAMPLE, TRAINING, CLOSE = 16, 4000, 80, 1e-4
 #: Steps without a nearer fit (by a hundredth) after which targets count as out of reach.
@@ -215,8 +215,13 @@ def copies(rate, doc_id):
 
 
 def apply_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], whole: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with every row as many times as its rate asks for (none, one or more). Columns are kept."""
-    rates = mix(docs.where("doc_id is not null"), labelled, targets, whole).groupBy(F.col("doc_id").alias("__id")).agg(F.max("rate").alias("__rate"))
-    joined = docs.join(rates, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    times = copies(F.coalesce("__rate", F.lit(1.0)), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    return joined.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with every row as many times as its rate asks for (none, one or more). Columns are kept.
+
+    Rows of one doc_id have the largest rate of its texts. Rows without doc_id stay as they are. Null and empty texts
+    have no tokens and a rate from the prior.
+    """
+    own, of, rate, copy = free(docs.columns, "__id", "__of", "__rate", "__copy")
+    rates = mix(docs.where("doc_id is not null"), labelled, targets, whole).groupBy(F.col("doc_id").alias(of)).agg(F.max("rate").alias(rate))
+    joined = docs.withColumn(own, F.col("doc_id").cast("long")).join(rates, F.col(own) == F.col(of), "left")
+    times = copies(F.coalesce(rate, F.lit(1.0)), F.coalesce(own, F.lit(0)))
+    return joined.withColumn(copy, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -101,11 +101,12 @@ def _required(parsed) -> list[frozenset[str]]:
             found.append(frozenset([run]))
         elif len(run) >= GRAM:
             found += [frozenset(["*" + run[i : i + GRAM]]) for i in range(len(run) - GRAM + 1)]
-        run = ""
-        if op == "BRANCH" and not _edge(op, value):
-            each = [_required(branch) for branch in value[1]]
+        if op == "BRANCH" and not _edge(op, value):  # each branch goes on with what stands before it
+            before = parts[max(0, k - len(run) - 1) : k]
+            each = [_required([*before, *branch]) for branch in value[1]]
             if all(each):
                 found.append(frozenset().union(*[min(e, key=lambda s: (len(s), sorted(s))) for e in each]))
+        run = ""
     return found
 
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -81,6 +82,31 @@ def test_minhash_edges(spark):
     assert minhash_forest.near_duplicates(table(spark, []).limit(0), 2).count() == 0
 
 
+def test_minhash_of_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c = passages(rng, 3)
+    out = minhash_forest.near_duplicates(table(spark, [(3, a), (5, a), (5, b), (7, b + " end"), (8, c), (9, c)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8)]
+
+
+def test_minhash_of_a_crowded_region(spark):
+    """Many documents that share two thirds of their shingles, so all regions are crowded, and a few pairs at the threshold."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7))
+    common = [word() for _ in range(200)]
+    texts = {i: " ".join(common[:150] + [word() for _ in range(25)] + common[150:]) for i in range(600)}
+    for i in range(0, 600, 40):  # 20 words of these 200 are exchanged
+        w = texts[i].split()
+        texts[1000 + i] = " ".join(w[:155] + [word() for _ in range(10)] + w[165:])
+    out = minhash_forest.near_duplicates(table(spark, list(texts.items())), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == plain_components(texts, 2, 80)
+
+
+def test_forest_and_graph_equal_sql(spark):
+    assert differences(spark, SF, queries.op8_minhash_forest, queries.FOREST_SQL) is None
+    assert differences(spark, SF, queries.op1_ann_graph, queries.GRAPH_SQL) is None
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(200, 201), (201, 202)], "a long, b long")
@@ -152,13 +178,34 @@ def test_urls(spark):
     assert differences(spark, SF, queries.op4_url_rules, queries.URL_SQL) is None
     rows = [(1, None), (2, "no scheme"), (3, "http://A.EXAMPLE.com/en/7x?q"), (4, "http://notexample.com/en/7"), (5, "http://example.net"), (6, "http://xcom/en/"), (7, "https://com/en/é"), (8, "http://h.org/EN/?casino"), (9, "http://a.b/casino/x"), (9, "http://a.b/casino/x"), (10, "")]
     pages = spark.createDataFrame([(i, u, "", "clash") for i, u in rows], "page_id long, url string, html string, host string")
-    out = sorted(tuple(r) for r in url_rules.judge(pages, queries.URL_RULES).collect() if r.page_id != 1)
+    out = sorted((tuple(r) for r in url_rules.judge(pages, queries.URL_RULES).collect()), key=str)
     got = {r[0]: r[1:] for r in out}
-    assert len(out) == 10 and got[2] == ("", "", None, "allow", None)
+    assert len(out) == 11 and got[1] == got[2] == got[10] == ("", "", None, "allow", None)
     assert got[3] == ("a.example.com", "/en/7x", "example.com/en/7", "allow", None) and got[4][2:4] == ("com/en/", "block")
     assert got[5] == ("example.net", "", None, "allow", None) and got[6][2] is None and got[7][2] == "com/en/" and got[9][3:] == ("block", "casino")
-    with pytest.raises(ValueError):
-        url_rules.judge(pages, [url_rules.Rule("a/", "block")] * 6000)
+    assert url_rules.judge(pages.limit(0), queries.URL_RULES).count() == 0
+    with pytest.raises(ValueError, match="no literal"):
+        url_rules.judge(pages, [url_rules.Rule("digits", "block", r"\d{6}")])
+
+
+def test_urls_equal_brute_force(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    shapes = [r"pills?[./-]", r"/en/\d*7(?:[./]|$)", r"(?:spam|ads)-(?:farm|track)\.", r"(?i)EXAMPLE\.org/(?:de|es)/[0-9]+", r"thth|ther\w+\.net", r"^www\.(?:\w+\.)?example", r"/(?:fr|en)/[13579]+\.html$"]
+    rules = [url_rules.Rule(f"shape{k}", "block" if k % 2 else "allow", p) for k, p in enumerate(shapes)]
+    urls = {}
+    for r in pages.collect():
+        rest = (r.url or "").partition("://")[2]
+        host, path = re.match("([^/?#]*)([^?#]*)", rest).groups()
+        urls[r.page_id] = re.sub("[A-Z]", lambda m: m[0].lower(), host) + path
+    expected = {i: next((r.name for r in rules if re.search(r.pattern, u)), None) for i, u in urls.items()}
+    assert len(set(expected.values())) > 4
+    for most in (64, 2):  # the index in the plan, and as a table
+        monkeypatch.setattr(url_rules, "IN_PLAN", most)
+        assert {r.page_id: r.rule for r in url_rules.judge(pages, rules).collect()} == expected
+        assert differences(spark, SF, queries.op4_url_rules, queries.URL_SQL) is None
+    many = [url_rules.Rule(f"h{k}.example.com/en/", "block") for k in range(3000)]
+    got = url_rules.judge(spark.createDataFrame([(1, "http://h2999.example.com/en/x"), (2, "http://h2999.example.com/")], "page_id long, url string"), many).collect()
+    assert {r.page_id: r.rule for r in got} == {1: "h2999.example.com/en/", 2: None}
 
 
 # --- shards ---
@@ -185,11 +232,91 @@ def test_shards_edges(spark):
     assert sorted(collections.Counter(r.shard for r in same).values()) == [10] * 8
     assert kd_shards.shard(table(spark, EDGE).limit(0), 4).count() == 0
     assert len({r.shard for r in kd_shards.shard(table(spark, EDGE), None, target_bytes=200_000).collect()}) == 2
+    few = kd_shards.shard(table(spark, [(1, "x" * 900), (2, "y")]), 8).collect()
+    assert len(few) == 2 and len({r.shard for r in few}) == 2
+    twice = kd_shards.shard(table(spark, [(1, "one row")] * 64), 8).collect()
+    assert sorted(collections.Counter(r.shard for r in twice).values()) == [8] * 8
+
+
+def test_shards_are_weighted_medians(spark, docs):
+    rows = [(r.doc_id, r.text.encode(), r.n_chars, r.lang) for r in docs.collect()]
+    number = lambda lang: int.from_bytes(lang.encode()[:6].ljust(6, b"\0")) + 1
+    table_ = [{"id": i, "size": len(t) + 1, "crc": zlib.crc32(t), "dims": (n, number(lang), len(t) + 1)} for i, t, n, lang in rows]
+    span = lambda part, d: max(r["dims"][d] for r in part) - min(r["dims"][d] for r in part)
+    whole = [span(table_, d) for d in range(3)]
+
+    def split(part, leaf, n):
+        if n == 1 or not part:
+            return {r["id"]: leaf for r in part}
+        widest = max(range(3), key=lambda d: (span(part, d) / whole[d], -d))
+        part = sorted(part, key=lambda r: (r["dims"][widest], r["crc"], r["id"]))
+        total = sum(r["size"] for r in part)
+        ends = np.cumsum([r["size"] for r in part])
+        off = [abs(e - total * (n // 2) / n) + (kd_shards.SLACK * total if k + 1 < len(part) and part[k]["crc"] == part[k + 1]["crc"] else 0) for k, e in enumerate(ends)]
+        cut = int(np.argmin(off)) + 1
+        return split(part[:cut], leaf, n // 2) | split(part[cut:], leaf + n // 2, n - n // 2)
+
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one range a leaf, as in the plain version
+    try:
+        for n in (2, 8, 11):
+            assert {r.doc_id: r.shard for r in kd_shards.shard(docs, n).collect()} == split(table_, 0, n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_many_shards(spark, docs):
+    out = kd_shards.shard(docs, 512).collect()
+    assert len(out) == docs.count() and len({r.shard for r in out}) > 150 and max(r.shard for r in out) < 512
 
 
 # --- licences ---
 
 
+def plain_labels(text):
+    """Labels by going through all places of all phrases."""
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    w, labels = word(text), set()
+    for t in (*license_scan.BASE, *license_scan.OWN):
+        own, after, places = word(t.text), 0, []
+        for key in map(word, t.keys):
+            at = next(k for k in range(after, len(own)) if own[k : k + len(key)] == key)
+            places.append((at, key))
+            after = at + len(key)
+        found = [[k for k in range(len(w) - len(key) + 1) if w[k : k + len(key)] == key] for _, key in places]
+        for start in found[0] if all(found) else ():
+            starts = [start]
+            for (at, _), f in zip(places[1:], found[1:], strict=True):
+                starts.append(min(f, key=lambda k, at=at: (abs(k - start - at + places[0][0]), k)))
+            near = all(abs(s - start - at + places[0][0]) <= license_scan.SLACK for s, (at, _) in zip(starts, places, strict=True))
+            if near and starts == sorted(set(starts)):
+                by = [max([0, *(j for j, (at, _) in enumerate(places) if at <= k)]) for k in range(len(own))]
+                spots = [starts[by[k]] + k - places[by[k]][0] for k in range(len(own))]
+                share, begin = np.mean([0 <= s < len(w) and w[s] == o for s, o in zip(spots, own, strict=True)]), start - places[0][0]
+                if share < license_scan.COVER and len(own) > license_scan.SLACK:
+                    window = w[max(0, begin - license_scan.SLACK) : begin + len(own) + license_scan.SLACK]
+                    row = [0] * (len(window) + 1)
+                    for o in own:
+                        last, row = row, [0]
+                        for j, x in enumerate(window):
+                            row.append(last[j] + 1 if x == o else max(last[j + 1], row[j]))
+                    share = row[-1] / len(own)
+                if share >= license_scan.COVER:
+                    labels.add(t.label)
+    return labels
+
+
+def test_licence_texts(spark):
+    rng = random.Random(11)
+    filler = lambda n: " ".join(rng.choice(["and", "software", "the", "license", "copy", "river", "use"]) for _ in range(n))
+    texts, wanted = {}, {}
+    for k, t in enumerate(license_scan.OWN):
+        texts[k], wanted[k] = f"{filler(30)}\n{t.text.replace('HOLDER ', 'HOLDER, SOME COMPANY OF TWO ')}\n{filler(30)}", t.label
+    first = {k: t.text[: len(t.text) // 3] for k, t in enumerate(license_scan.OWN) if len(t.keys) == 3}
+    out = {r.doc_id: r for r in license_scan.scan(table(spark, [*texts.items(), *((100 + k, x) for k, x in first.items())])).collect()}
+    assert all(wanted[k] in out[k].labels.split(",") and out[k].score >= license_scan.COVER for k in texts)
+    assert {i: r.labels for i, r in out.items()} == {i: ",".join(sorted(plain_labels(t))) for i, t in [*texts.items(), *((100 + k, x) for k, x in first.items())]}
+
+
 def test_licences(spark, docs):
     texts = texts_of(docs) | {-1: "CC BY cc\nby, All  rights-reserved! É", -2: "cc byé", -3: "by cc general public\n\nlicense"}
     out = license_scan.scan(table(spark, list(texts.items()))).collect()
@@ -203,6 +330,11 @@ def test_licences(spark, docs):
             labels |= {t.label} if found else set()
         assert tuple(r)[1:6] == (len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)))
         assert labels <= set(r.labels.split(",")) and (r.score > 0) == bool(r.labels)
+    expected = {i: plain_labels(t) for i, t in texts.items()}
+    assert {r.doc_id: r.labels for r in out} == {i: ",".join(sorted(x)) for i, x in expected.items()} and len(set().union(*expected.values())) > 4
+    sql = r"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+|[^\x00-\x7F]+') AS w FROM '{}')
+    SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'cc' AND w[i + 1] = 'by')) + len(list_filter(range(1, len(w) - 1), lambda i: (w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') OR (w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved'))) FROM w"""
+    assert dict(duckdb.sql(sql.format(f"{SF}/documents.parquet")).fetchall()) == {r.doc_id: r.n_base for r in out if r.doc_id >= 0}
     mit = table(spark, [(1, "x Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"), (2, "hereby granted free of charge permission is")])
     assert [r.labels for r in license_scan.scan(mit).orderBy("doc_id").collect()] == ["mit", ""]
 
@@ -266,9 +398,54 @@ def test_languages(spark, docs):
     assert langid.accepted(docs).count() == docs.count()
 
 
+def test_language_sets_equal_brute_force(spark, docs):
+    names, table_ = langid.learn(docs, ~langid.held_out(F.col("doc_id")))
+    texts = [t[:1200] for i, t in sorted(texts_of(docs).items()) if len(t) > 200][:60]
+    texts += [a[:500] + " " + b[:400] for a, b in zip(texts[::2], texts[1::2], strict=False)]
+    counts, like = np.stack([langid.trigrams(t.encode()) for t in texts]).astype(float), table_.astype(float)
+    got = langid.mixtures(counts, like.astype(np.float32))
+    best = np.full(len(texts), -np.inf)
+    sets, shares = [None] * len(texts), [None] * len(texts)
+    for size in range(1, len(names) + 1):
+        for own in itertools.combinations(range(len(names)), size):
+            share = np.zeros((len(texts), len(names)))
+            share[:, own] = 1 / size
+            share, fit = langid._em(counts, like, share, 300)
+            fit = fit - langid.PENALTY * np.log(np.maximum(counts.sum(1), 2)) * size
+            for i in np.flatnonzero(fit > best + 1e-6):
+                best[i], sets[i], shares[i] = fit[i], set(own), share[i]
+    assert np.mean([set(np.flatnonzero(g)) == s for g, s in zip(got, sets, strict=True)]) >= 0.97
+    assert np.mean([g.argmax() == s.argmax() for g, s in zip(got, shares, strict=True)]) >= 0.98 and len({len(s) for s in sets}) > 1
+
+
+def test_many_languages(spark):
+    rng = random.Random(3)
+    letters = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 9)) for _ in range(240)]
+    rows = [(k, " ".join("".join(rng.choice(letters[k % 240]) for _ in range(6)) for _ in range(150)), f"l{k % 240}", "s", 0) for k in range(960)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = langid.identify(df).collect()
+    assert len({r.lang_pred for r in out}) > 230 and np.mean([r.lang_pred == f"l{r.doc_id % 240}" for r in out if r.held_out]) > 0.9
+
+
 # --- mixing ---
 
 
+def test_mixing_equals_brute_force(spark, docs):
+    out = queries.op3_mixing(spark, SF).collect()
+    p, n, rate = (np.array([r[c] for r in out], float) for c in ("posterior", "n_tokens", "rate"))
+    for targets in ([0.8, 0.15, 0.05], [0.98, 0.01, 0.01], [0.0, 0.0, 1.0]):
+        soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
+        residuals, step, off = mixing.fit_rates(soft, np.array(targets))
+        ours, _ = mixing.replay(p, residuals, step)
+        plain, total = np.ones(len(n)), n.sum()
+        weigh = np.linalg.pinv((p * n[:, None]).T @ p / total)
+        cost = lambda r: (lambda d: d @ weigh @ d)((r * n) @ p / total - targets)
+        for _ in range(4000):
+            plain = np.maximum(0, plain - 0.5 * p @ (weigh @ ((plain * n) @ p / total - targets)))
+        assert cost(ours) <= cost(plain) + 1e-4 and (ours >= 0).all()
+        assert off <= mixing.CLOSE or cost(plain) > 1e-6
+
+
 def test_mixing(spark, docs):
     out = queries.op3_mixing(spark, SF).collect()
     p, n, rate = (np.array([r[c] for r in out]) for c in ("posterior", "n_tokens", "rate"))
