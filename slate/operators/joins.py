@@ -247,7 +247,8 @@ def _interval(df: DataFrame, lo: str, hi: str) -> DataFrame:
     """``df``, whose intervals are checked as they are read: a missing end, or a start beyond its end, is an error."""
     a, b = F.col(f"`{lo}`"), F.col(f"`{hi}`")
     bad = F.raise_error(F.concat(F.lit(f"no interval from {lo} to {hi}: "), F.coalesce(a.cast("string"), F.lit("missing")), F.lit(", "), F.coalesce(b.cast("string"), F.lit("missing"))))
-    return df.withColumn(lo, F.when(a.isNull() | b.isNull() | (a > b), bad.cast(df.schema[lo].dataType)).otherwise(a))
+    odd = a.isNull() | b.isNull() | (a > b)
+    return df.withColumns({n: F.when(odd, bad.cast(df.schema[n].dataType)).otherwise(e) for n, e in ((lo, a), (hi, b))})
 
 
 def overlaps(x: DataFrame, y: DataFrame, equal: Sequence[str], x_span: tuple[str, str], y_span: tuple[str, str], kind: str = "any", width: float | None = None, nomatch: str | None = "NA", mult: str = "all", order: Sequence[str] = ()) -> DataFrame:

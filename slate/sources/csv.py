@@ -112,14 +112,17 @@ class Sniffed:
 
 def sniff(spark: SparkSession, path: str, lines: int = 100, na: Sequence[str] = ("NA", ""), keep_zeros: bool = False, sep: str | None = None, header: bool | None = None, skip: int | str = 0, comment: str | None = None, quote: str = '"', quoting: str | None = None) -> Sniffed:
     """Separator, header, names and way of quoting from the first lines only; ``read_csv`` looks at the others."""
-    first = spark.read.text(path)
-    rows = [r.value for r in (first if isinstance(skip, str) else first.limit(lines + skip)).limit(100_000 if isinstance(skip, str) else lines + skip).collect()]
+    sample = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).limit(100_000 if isinstance(skip, str) else lines + skip).collect()
+    # Files have heads of their own: the one that the sample has most of speaks for all.
+    file = Counter(r.file for r in sample).most_common(1)[0][0] if sample else ""
+    rows = [r.value for r in sample if r.file == file]
     rows = [r.lstrip("\ufeff") if k == 0 else r for k, r in enumerate(rows)]
     if isinstance(skip, str):
         skip = next((k for k, r in enumerate(rows) if skip in r), None)
         if skip is None:
             raise ValueError("no line holds the text to skip to")
-    rows = [r for r in rows[skip:][:lines] if r.strip() and not (comment and r.startswith(comment))]
+    kept = [k for k, r in enumerate(rows[skip:][:lines], skip) if r.strip() and not (comment and r.startswith(comment))]
+    skip, rows = (kept[0] if kept else skip), [rows[k] for k in kept]
     if not rows:
         return Sniffed(sep or ",", False, [], skip, quote, quoting or "double")
 
@@ -318,7 +321,7 @@ def _yaml_head(spark: SparkSession, path: str) -> dict | None:
         elif key == "header":
             out["header"] = plain.lower() in ("true", "yes")
         elif key == "na":
-            listed = out["na"] = [x.strip(" '\"") for x in plain.strip("[]").split(",")] if plain else []
+            listed = out["na"] = [x.strip(" '\"") for x in plain.strip("[]").split(",")] if value else []
         elif key in ("sep", "quote", "dec") and plain:
             out[key] = plain
     return out | {"types": types}
