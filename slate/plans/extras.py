@@ -32,11 +32,11 @@ def odd(t) -> DataFrame:
     return t("events").select("event_id", "user_id", "event_type", "ts", "value", F.when(c("event_id") % 5 != 0, n).alias("v"), n.alias("n"))
 
 
-@query(f"""SELECT user_id, round(coalesce(sum(k), 0), 4) AS total, CASE WHEN count(k) = 0 THEN 'nan'::DOUBLE ELSE round(avg(k), 4) END AS mean, round(median(k), 4) AS median, round(var_samp(k), 4) AS var, min(k) AS lo, max(k) AS hi,
+@query(f"""SELECT user_id, round(coalesce(sum(k), 0), 4) AS total, CASE WHEN count(k) = 0 THEN 'nan'::DOUBLE ELSE round(avg(k), 6) END AS mean, round(median(k), 4) AS median, round(var_samp(k), 4) AS var, min(k) AS lo, max(k) AS hi,
 CASE WHEN bool_or(isnan(n)) THEN 'nan'::DOUBLE ELSE round(sum(n), 4) END AS total_n, CASE WHEN bool_or(isnan(n)) THEN 'nan'::DOUBLE ELSE round(median(n), 4) END AS median_n, CASE WHEN bool_or(isnan(n)) THEN 'nan'::DOUBLE ELSE max(n) END AS hi_n,
 CASE WHEN bool_or(isnan(n)) THEN 'nan'::DOUBLE ELSE min(n) END AS lo_n FROM {_ODD} GROUP BY 1""")
 def aggregates_nan(t):
-    j = {"total": r4(A.total("v", True)), "mean": r4(A.mean("v", True)), "median": r4(A.median("v", True)), "var": r4(A.var("v", True)), "lo": A.least("v", True, True), "hi": A.greatest("v", True, True)}
+    j = {"total": r4(A.total("v", True)), "mean": F.round(A.mean("v", True), 6), "median": r4(A.median("v", True)), "var": r4(A.var("v", True)), "lo": A.least("v", True, True), "hi": A.greatest("v", True, True)}
     j |= {"total_n": r4(A.total("n")), "median_n": r4(A.median("n")), "hi_n": A.greatest("n", floating=True), "lo_n": A.least("n", floating=True)}
     return A.summarise(odd(t), ["user_id"], j)
 
