@@ -192,19 +192,34 @@ _FOLDS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Longest adaptive windows that are gathered to be summed; longer ones are differences of running sums.
+GATHERED = 64
+
+
 def froll_adaptive(df: DataFrame, f: str, x: str, n: str, by: Sequence[str], order: Sequence[str | Column], name: str, most: int, align: str = "right", fill=None, na_rm: bool = False, partial: bool = False) -> DataFrame:
     """A window length for each row (at most ``most``): the frame of ``most`` rows is gathered and its end is folded.
 
-    Incomplete windows give ``fill``, or are used with ``partial``; windows with missing values give missing, unless
+    Sums and means over more than ``GATHERED`` rows are differences of running sums instead, in a total order. Incomplete
+    windows give ``fill``, or are used with ``partial``; windows with missing values give missing, unless
     ``na_rm`` leaves those out. A missing length, or one above ``most`` or below 0, gives missing.
     """
     if align not in ("right", "left"):
         raise ValueError("adaptive windows are aligned right or left")
-    w = window(by, order)
+    size = F.col(n).cast("int")
+    if f in ("sum", "mean") and most > GATHERED:
+        rows, value, whole = _by_running_sums(df, f, x, size, by, order, align, na_rm)
+    else:
+        rows, value, whole = _by_gathering(df, f, x, size, by, order, most, align, na_rm)
+    out = value if partial else F.when(whole, value).otherwise(lit(fill).cast("double"))
+    helpers = [c for c in rows.columns if c not in df.columns]
+    return rows.withColumn("__out", F.when(size.between(0, most), out)).drop(*helpers).withColumn(name, F.col("__out")).drop("__out")
+
+
+def _by_gathering(df: DataFrame, f: str, x: str, size: Column, by: Sequence[str], order: Sequence[str | Column], most: int, align: str, na_rm: bool) -> tuple[DataFrame, Column, Column]:
+    w = Window.partitionBy(*by).orderBy(*order)
     frame = w.rowsBetween(-(most - 1), 0) if align == "right" else w.rowsBetween(0, most - 1)
     number = F.col(x).cast("double")
     gathered = F.collect_list(F.struct((not_nan(number) if na_rm else number).alias("v"))).over(frame)
-    size = F.col(n).cast("int")
     taken = F.least(F.greatest(size, F.lit(0)), F.size("__w"))
     start = F.size("__w") - taken + 1 if align == "right" else F.lit(1)
     cut = F.transform(F.slice("__w", start, taken), lambda e: e["v"])
@@ -216,8 +231,38 @@ def froll_adaptive(df: DataFrame, f: str, x: str, n: str, by: Sequence[str], ord
     if not na_rm:
         value = F.when(F.exists("__p", F.isnan), F.lit(float("nan"))).otherwise(value)
         value = F.when(~F.exists("__p", lambda v: v.isNull()), value)
-    whole = value if partial else F.when(F.size("__w") >= size, value).otherwise(lit(fill).cast("double"))
-    return rows.withColumn(name, F.when(size.between(0, most), whole)).drop("__w", "__p")
+    return rows, value, F.size("__w") >= size
+
+
+def _by_running_sums(df: DataFrame, f: str, x: str, size: Column, by: Sequence[str], order: Sequence[str | Column], align: str, na_rm: bool) -> tuple[DataFrame, Column, Column]:
+    """Each row beside the running sums at its window's other end, met by row number; NaN and infinities are counted apart."""
+    w, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
+    v = F.col(x).cast("double")
+    v = not_nan(v) if na_rm else v
+    inf = float("inf")
+    parts = {"s": F.when(F.isnan(v) | (F.abs(v) == inf), 0.0).otherwise(F.coalesce(v, F.lit(0.0))), "k": v.isNotNull().cast("long"), "nan": F.coalesce(F.isnan(v), F.lit(False)).cast("long"), "up": F.coalesce(v == inf, F.lit(False)).cast("long"), "down": F.coalesce(v == -inf, F.lit(False)).cast("long")}
+    here = F.struct(*[c.alias(k) for k, c in parts.items()])
+    sums = F.struct(*[F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k, c in parts.items()])
+    rows = df.withColumns({"__rn": F.row_number().over(w), "__rows": F.count(F.lit(1)).over(whole), "__v": here, "__sums": sums})
+    left = F.col("__rows") - F.col("__rn") + 1 if align == "left" else F.col("__rn")
+    rows = rows.withColumn("__taken", F.least(F.greatest(size, F.lit(0)), left))
+    rows = rows.withColumn("__to", F.col("__rn") + F.col("__taken") - 1 if align == "left" else F.col("__rn") - F.col("__taken"))
+    ends = rows.select(*[F.col(f"`{c}`").alias(f"__b{k}") for k, c in enumerate(by)], F.col("__rn").alias("__end"), F.col("__sums").alias("__other"))
+    test = F.col("__to") == F.col("__end")
+    for k, c in enumerate(by):
+        test = test & F.col(f"`{c}`").eqNullSafe(F.col(f"__b{k}"))
+    met = rows.join(ends, test, "left")
+
+    def over(k: str) -> Column:
+        other = F.coalesce(F.col("__other")[k], F.lit(0))
+        within = F.col("__sums")[k] - other if align == "right" else other - F.col("__sums")[k] + F.col("__v")[k]
+        return F.when(F.col("__taken") > 0, within).otherwise(0)
+
+    total = F.when((over("nan") > 0) | ((over("up") > 0) & (over("down") > 0)), F.lit(float("nan"))).when(over("up") > 0, inf).when(over("down") > 0, -inf).otherwise(over("s").cast("double"))
+    value = total if f == "sum" else F.when(over("k") == 0, F.lit(float("nan"))).otherwise(total / F.when(over("k") > 0, over("k")))
+    if not na_rm:
+        value = F.when(over("k") == F.col("__taken"), value)
+    return met, value, left >= size
 
 
 def frolladapt(index: Column | str, n: int, by: Sequence[str | Column], partial: bool = False) -> Column:

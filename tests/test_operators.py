@@ -124,6 +124,21 @@ def test_spread_equals_windows(spark):
     assert W.nafill_spread(df.limit(0), "v", ["g"], ["t"], "f").count() == 0
 
 
+def test_running_sums_equal_gathering(spark, monkeypatch):
+    odd = {3: None, 11: NAN, 17: INF, 23: -INF, 29: None}
+    rows = [(g, k, odd.get(k, k * 1.25), None if k == 8 else (k * 5) % 13 - 1) for g in (None, 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "g int, k int, v double, n int")
+    for f in ("sum", "mean"):
+        for kw in ({}, {"align": "left"}, {"na_rm": True}, {"align": "left", "na_rm": True, "partial": True}, {"partial": True}, {"fill": -1.0}):
+            found = []
+            for gathered in (64, 0):
+                monkeypatch.setattr(W, "GATHERED", gathered)
+                out = W.froll_adaptive(df, f, "v", "n", ["g"], ["k"], "r", 9, **kw)
+                assert out.columns == ["g", "k", "v", "n", "r"]
+                found.append(sorted((str(r.g), r.k, "none" if r.r is None else "nan" if math.isnan(r.r) else round(r.r, 9)) for r in out.collect()))
+            assert found[0] == found[1], (f, kw)
+
+
 def test_small_table_operators(spark):
     f = Frame(spark.createDataFrame([(1, 1.0), (2, NAN), (3, None)], "k int, v double"), ("k",))
     assert [tuple(r) for r in f.is_na().df.collect()] == [(False, False), (False, True), (False, True)]
