@@ -24,8 +24,8 @@ from slate.llm.common import save
 from slate.llm.vectors import keyed, matrix, unit
 
 SHARD, DEGREE, ROOM, ALPHA, BATCH = 16384, 32, 48, 1.2, 512
-#: Nodes that a search keeps while a graph is built, and while it is asked; nodes that it opens in one step.
-BUILD_BEAM, BEAM, STEP = 48, 96, 8
+#: Nodes that a search keeps in the first and second round of building, and when a graph is asked; nodes opened in one step.
+FIRST_BEAM, BUILD_BEAM, BEAM, STEP = 24, 48, 96, 8
 _BLOCK = 256
 
 
@@ -52,9 +52,9 @@ class Graph:
         m, n, q = len(q), len(self.x), np.ascontiguousarray(q, np.float32)
         beam = max(beam, STEP)
         ids, sims, done = np.full((m, beam), -1, np.int32), np.full((m, beam), -np.inf, np.float32), np.ones((m, beam), bool)
-        seen = np.zeros((m, n + 1), bool)  # the last column stands for edges that aren't there
+        seen = np.zeros(m * (n + 1), np.int32)  # by query and node; node n stands for edges that aren't there
         ids[:, 0], sims[:, 0], done[:, 0] = self.entry, q @ self.x[self.entry], False
-        seen[:, [self.entry, n]] = True
+        seen[np.arange(m)[:, None] * (n + 1) + [self.entry, n]] = 1
         live = np.arange(m)
         while len(live := live[~done[live].all(axis=1)]):
             own = np.where(done[live], -np.inf, sims[live])
@@ -63,10 +63,12 @@ class Graph:
             near[np.take_along_axis(own, pick, axis=1) == -np.inf] = -1
             near = near.reshape(len(live), -1)
             done[live[:, None], pick] = True
-            row, col = np.nonzero(~seen[live[:, None], near])
-            flat = np.unique(row * (n + 1) + near[row, col])
-            row, node = flat // (n + 1), flat % (n + 1)
-            seen[live[row], node] = True
+            place = live[:, None] * (n + 1) + np.where(near < 0, n, near)
+            row, col = np.nonzero(seen[place] == 0)
+            place, turn = place[row, col], np.arange(1, len(row) + 1, dtype=np.int32)
+            seen[place] = turn
+            once = seen[place] == turn  # of a node that several opened nodes lead to, one
+            row, node = row[once], near[row[once], col[once]]
             got = np.einsum("ij,ij->i", q[live[row]], self.x[node])
             self.scored += len(got)
             better = got > sims[live].min(axis=1)[row]
@@ -112,7 +114,7 @@ class Graph:
         self.edges[nodes], self.held[nodes] = edges, (edges >= 0).sum(axis=1)
 
     def _insert(self, nodes: np.ndarray, relax: float) -> None:
-        found = self.search(self.x[nodes], self.beam)
+        found = self.search(self.x[nodes], min(self.beam, FIRST_BEAM) if relax == 1.0 else self.beam)
         self._set(nodes, self._prune(nodes, np.concatenate([found, self.edges[nodes]], axis=1), relax))
         row, col = np.nonzero(self.edges[nodes] >= 0)
         source, target = nodes[row], self.edges[nodes][row, col]
@@ -171,8 +173,8 @@ def _search_shards(dim: int, k: int):
                     parts.append([part.column(c).to_pylist() for c in ("id", "ids", "vector")])
                 elif parts:
                     shard = shard or build(parts)
-                    for c in range(0, len(part), 1024):
-                        some = part.slice(c, 1024)
+                    for c in range(0, len(part), BATCH):
+                        some = part.slice(c, BATCH)
                         yield answer(shard, np.array(some.column("id"), np.int64), matrix(some.column("vector").to_pylist(), dim))
 
     return run
