@@ -51,10 +51,12 @@ def _join_blocks(least: float, dim: int):
         ids, weights, x = core
         other_ids, other_weights, y = held
         near = x @ y.T
-        mask = near >= least
+        mask = near >= least + 1e-12
+        loose = near >= least - 1e-12
         # At the border a matrix product's last digits depend on the blocks' shapes: there one fixed order of summing decides.
-        for i, j in zip(*np.nonzero(np.abs(near - least) < 1e-12), strict=True):
-            mask[i, j] = sum((x[i] * y[j]).tolist()) >= least
+        if np.count_nonzero(loose) > np.count_nonzero(mask):
+            for i, j in zip(*np.nonzero(loose & ~mask), strict=True):
+                mask[i, j] = sum((x[i] * y[j]).tolist()) >= least
         if same:
             np.fill_diagonal(mask, False)
         if not mask.any():
