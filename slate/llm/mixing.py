@@ -2,9 +2,9 @@
 
 A softmax classifier learned from the labelled table (a bounded sample of it: ``SAMPLE`` rows) gives every document
 posteriors over domains. Document rates r >= 0 (r >= 1 in domains that are to stay whole) are fitted so that the expected tokens of each domain,
-sum of r * tokens * posterior, match the targets: weighted least squares by accelerated projected gradient. A step needs one
-sum over all documents for each domain, which Spark makes; the gradient is scaled by 1/tokens, so a document's rate
-follows from its posteriors and the short list of past residuals. Tasks replay that list instead of keeping state,
+sum of r * tokens * posterior, match the targets: weighted least squares by projected gradient. A step needs one
+sum over all documents for each domain and pair of domains, which Spark makes; the gradient is scaled by 1/tokens and by the inverse of the second
+moments of the documents whose rates can move, so a document's rate follows from its posteriors and the short list of past residuals. Tasks replay that list instead of keeping state,
 so nothing is lost with an executor, and the driver holds a number for each domain and step.
 """
 
@@ -22,6 +22,7 @@ from slate.llm.common import LOWER, NOT_SPACE, Texts, free, passes, range_hashes
 BITS, SAMPLE, TRAINING, CLOSE = 16, 4000, 80, 1e-4
 #: Steps without a nearer fit (by a hundredth) after which targets count as out of reach.
 PATIENCE = 25
+DAMPING = 0.01
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 
@@ -109,53 +110,53 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.array(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def replay(p: np.ndarray, residuals: list[np.ndarray], step: float, whole: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps so far, and the point at which the next gradient is taken. Likeliest domains in ``whole`` have rates >= 1."""
-    rate = ahead = np.ones(len(p))
+def replay(p: np.ndarray, residuals: list[np.ndarray], whole: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the steps so far, and whether each is above its least value: 1 where the likeliest domain is in ``whole``, else 0."""
+    rate = np.ones(len(p))
     least = np.isin(p.argmax(axis=1), whole).astype(np.float64)
-    for t, residual in enumerate(residuals):
-        new = np.maximum(least, ahead - step * (p @ residual))
-        ahead = np.maximum(least, new + t / (t + 3) * (new - rate))
-        rate = new
-    return rate, ahead
+    for residual in residuals:
+        rate = np.maximum(least, rate - p @ residual)
+    return rate, rate > least
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, whole: tuple[int, ...] = ()) -> tuple[list[np.ndarray], float, float]:
-    """Residuals of all steps, the step length, and how far off the worst domain still is.
+def fit_rates(soft: DataFrame, targets: np.ndarray, whole: tuple[int, ...] = ()) -> tuple[list[np.ndarray], float]:
+    """Residuals of all steps, and how far off the worst domain still is.
 
     ``targets`` are expected tokens by domain, over all tokens. Steps go on until all are met to within ``CLOSE``, or until
     ``PATIENCE`` steps bring the worst one no nearer: then no rates meet them.
     """
     k = len(targets)
 
-    def sums(residuals: list[np.ndarray], step: float):
+    def sums(residuals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Tokens of each domain, second moments of the documents that can move and of all, all tokens."""
+
         def run(batches):
-            rate_sum, ahead_sum, square, tokens = np.zeros(k), np.zeros(k), np.zeros((k, k)), 0.0
+            reached, free, every, tokens = np.zeros(k), np.zeros((k, k)), np.zeros((k, k)), 0.0
             for batch in batches:
                 p, n = _matrix(batch), np.array(batch.column("n_tokens"), np.float64)
-                rate, ahead = replay(p, residuals, step, whole)
-                rate_sum, ahead_sum = rate_sum + (rate * n) @ p, ahead_sum + (ahead * n) @ p
-                square, tokens = square + (p * n[:, None]).T @ p, tokens + n.sum()
-            flat = np.concatenate([rate_sum, ahead_sum, square.ravel(), [tokens]])
+                rate, moves = replay(p, residuals, whole)
+                reached = reached + (rate * n) @ p
+                free, every, tokens = free + (p * (n * moves)[:, None]).T @ p, every + (p * n[:, None]).T @ p, tokens + n.sum()
+            flat = np.concatenate([reached, free.ravel(), every.ravel(), [tokens]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], ["at", "value"])
 
         rows = soft.select("n_tokens", "posterior").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        flat = np.zeros(2 * k + k * k + 1)
+        flat = np.zeros(k + 2 * k * k + 1)
         for r in rows:
             flat[r["at"]] = r["value"]
-        return flat[:k], flat[k : 2 * k], flat[2 * k : -1].reshape(k, k), flat[-1]
+        return flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(k, k), flat[-1]
 
     residuals: list[np.ndarray] = []
-    weigh, best, waited = np.eye(k), np.inf, 0
+    best, waited = np.inf, 0
     while True:
-        reached, ahead, square, tokens = sums(residuals, 1.0)
+        reached, free, every, tokens = sums(residuals)
         off = float(np.abs(reached / tokens - targets).max()) if tokens else 0.0
         best, waited = (off, 0) if off < 0.99 * best else (best, waited + 1)
         if off <= CLOSE or waited >= PATIENCE:
-            return residuals, 1.0, off
-        if not residuals:  # least squares weighed by the inverse of the domains' overlap: the steepest direction is 1
-            weigh = np.linalg.pinv(square / tokens, rcond=1e-10, hermitian=True)
-        residuals.append(weigh @ (ahead / tokens - targets))
+            return residuals, off
+        # All documents weigh in a little, so that a step isn't long where few can move.
+        moments = free + DAMPING * every if residuals else every
+        residuals.append(np.linalg.pinv(moments / tokens, rcond=1e-10, hermitian=True) @ (reached / tokens - targets))
 
 
 def _total(soft: DataFrame, wanted: np.ndarray, whole: tuple[int, ...]) -> float:
@@ -195,14 +196,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], whole:
     kept = tuple(i for i, n in enumerate(names) if n in whole)
     if kept:
         wanted = wanted * _total(soft, wanted, kept)
-    residuals, step, off = fit_rates(soft, wanted, kept)
+    residuals, off = fit_rates(soft, wanted, kept)
     if off > CLOSE:
         warnings.warn(f"no rates meet the targets: a domain is {off:.4f} of all tokens off", stacklevel=2)
 
     def run(batches):
         for batch in batches:
             p = _matrix(batch)
-            rate, _ = replay(p, residuals, step, kept)
+            rate, _ = replay(p, residuals, kept)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([names[i] for i in p.argmax(axis=1)], pa.string()), batch.column("posterior"), pa.array(rate), pa.array(np.full(len(p), off))], ["doc_id", "n_tokens", "domain", "posterior", "rate", "off"])
 
     return soft.mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double, off double")

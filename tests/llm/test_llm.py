@@ -435,8 +435,8 @@ def test_mixing_equals_brute_force(spark, docs):
     p, n, rate = (np.array([r[c] for r in out], float) for c in ("posterior", "n_tokens", "rate"))
     for targets in ([0.8, 0.15, 0.05], [0.98, 0.01, 0.01], [0.0, 0.0, 1.0]):
         soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
-        residuals, step, off = mixing.fit_rates(soft, np.array(targets))
-        ours, _ = mixing.replay(p, residuals, step)
+        residuals, off = mixing.fit_rates(soft, np.array(targets))
+        ours, _ = mixing.replay(p, residuals)
         plain, total = np.ones(len(n)), n.sum()
         weigh = np.linalg.pinv((p * n[:, None]).T @ p / total)
         cost = lambda r: (lambda d: d @ weigh @ d)((r * n) @ p / total - targets)
