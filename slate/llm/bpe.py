@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from slate.llm.common import passes, small_batches
 
+#: Bytes of text whose new matches are merged side by side.
+PASS_BYTES = 1 << 21
 #: Matches in each of the two generations that a worker remembers, and the longest it remembers.
 CACHE, CACHED_CHARS = 200_000, 64
 NONE = 1 << 60
@@ -220,7 +222,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
         own = codec(path, pattern)
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for at, texts in passes(batch):
+            for at, texts in passes(batch, most=PASS_BYTES):
                 out = []
                 split = [own.split.findall((text or b"").decode("utf-8", "replace")) for text in texts]
                 new: set[str] = set()

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from slate.sources.staged import discard, save
 
-#: Bytes of text that one vectorised pass works on; longer texts form a pass of their own.
-PASS_BYTES = 1 << 21
+#: Bytes of text that one vectorised pass works on (some ten arrays of eight bytes for each, which a worker keeps); longer
+#: texts form a pass of their own.
+PASS_BYTES = 1 << 19
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that a batch of long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Arrow batches small enough that a batch of long texts fits a worker: limits above these are lowered, for the session."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def free(columns: list[str], *names: str) -> list[str]:
@@ -97,8 +100,8 @@ class Texts:
         return starts, ends, np.append(np.searchsorted(starts, self.starts), len(starts))
 
 
-def passes(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice, list[bytes | None]]]:
-    """Slices of a batch whose texts are of at most ``PASS_BYTES`` together, or one text."""
+def passes(batch: pa.RecordBatch, column: str = "text", most: int = PASS_BYTES) -> Iterator[tuple[slice, list[bytes | None]]]:
+    """Slices of a batch whose texts are of at most ``most`` bytes together, or one text."""
     values = batch.column(column)
     if not pa.types.is_binary(values.type) and not pa.types.is_large_binary(values.type):
         values = values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary())
@@ -106,7 +109,7 @@ def passes(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice,
     for i, value in enumerate(values):
         text = value.as_py()
         n = len(text or b"")
-        if texts and size + n > PASS_BYTES:
+        if texts and size + n > most:
             yield slice(at, i), texts
             texts, at, size = [], i, 0
         texts.append(text)
