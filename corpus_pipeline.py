@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slate.llm import bpe, cdc, langid, minhash_forest, mixing
-from slate.llm.common import save
+from slate.llm.common import free, save
 from slate.llm.queries import MIX_TARGETS, domains
 from slate.operators.rows import number_rows
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go."""
+    """Documents without a language (null, without a letter) go; rows without doc_id and repeated rows are judged like any other."""
     return langid.accepted(docs)
 
 
@@ -26,15 +26,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     digest, so that other texts of the id stay.
     """
     known, node = docs.where("doc_id is not null"), F.col("doc_id")
-    if known.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        known, node = number_rows(known, ["doc_id", F.xxhash64("text"), "text"], "__node"), F.col("__node")
-    found = minhash_forest.near_duplicates(known.select(node.alias("doc_id"), "text"), width=5, percent=80).where("kept").select(F.col("doc_id").alias("__id"))
-    kept = known.join(found, node == F.col("__id"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    number, other = free(docs.columns, "__node", "__id")
+    if known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        known, node = number_rows(known, ["doc_id", F.xxhash64("text"), "text"], number), F.col(number)
+    found = minhash_forest.near_duplicates(known.select(node.alias("doc_id"), "text"), width=5, percent=80).where("kept").select(F.col("doc_id").alias(other))
+    kept = known.join(found, node == F.col(other), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return kept.union(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat across documents stay in the first one only."""
+    """Passages that repeat across documents stay in the first one only; a document left without a word goes.
+
+    Null texts and rows without doc_id stay as they are; rows of one doc_id are cut each by its own text.
+    """
     return cdc.strip_repeats(docs)
 
 
@@ -42,12 +46,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its rate asks for, so that domains get their target shares of tokens.
 
     Documents that are most likely good or plain are never dropped: the total is set so that their rates are 1 at least.
+    Rows without doc_id stay as they are; rows of one doc_id have one rate.
     """
     return mixing.apply_mix(docs, domains(spark, sf_dir), MIX_TARGETS, whole=("good", "plain"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (and of each of its copies), with the decoded text's digest."""
+    """Token ids of each document (and of each of its copies), with the decoded text's digest; a null text has none."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).drop("decoded")
 
 
