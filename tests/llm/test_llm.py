@@ -143,6 +143,52 @@ def test_metric_join_small_cells(spark):
     assert {r.vec_id: r.n_links for r in out} == dict(enumerate(links.tolist()))
 
 
+def shuffled(spark):
+    """Bytes that each stage known to the session has written for shuffles."""
+    context, java = spark.sparkContext, spark.sparkContext._gateway
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, java.new_array(java.jvm.double, 0), java.jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_metric_join_copies_nothing_to_disk(spark):
+    x = np.random.default_rng(8).normal(size=(3000, 16)).astype(np.float32)
+    df = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    before = shuffled(spark)
+    out = {r.vec_id: r.n_links for r in metric_join.near_duplicates(df, 0.9, cell=32).collect()}
+    written = sum(size for stage, size in shuffled(spark).items() if stage > max(before, default=-1))
+    assert written < 4 * x.size * 8  # whatever the number of blocks, some hundred here
+    y = x.astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    assert out == dict(enumerate((((y @ y.T) >= 0.9).sum(1) - 1).tolist()))
+
+
+def test_metric_join_limit_and_groups(spark):
+    """Links a billionth beside the limit, doubles and floats in one table, groups of near copies over many blocks, repeated vectors."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 32))
+    x[1::2][:300] = x[0] + rng.normal(scale=0.05, size=(300, 32))
+    x[800:1000] = x[800:1000].astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for k in range(1000, 1400, 2):  # alternately just linked and just not
+        z = x[k + 1] - (x[k + 1] @ x[k]) * x[k]
+        c = 0.9 + (1e-9 if k % 4 else -1e-9)
+        x[k + 1] = c * x[k] + np.sqrt(1 - c * c) * z / np.linalg.norm(z)
+    x[1400:] = x[1000:1100]
+    mask = np.array([[sum((a * b).tolist()) for b in x[1000:]] for a in x[1000:]]) >= 0.9
+    whole = (x @ x.T) >= 0.9
+    whole[1000:, 1000:] = mask
+    np.fill_diagonal(whole, True)
+    component = np.arange(len(x))
+    while ((new := np.where(whole, component, len(x)).min(axis=1)) != component).any():
+        component = new
+    assert mask[0, 1] != mask[2, 3] and (component == 0).sum() > 300
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    for cell in (16, 200, 4096):
+        out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.near_duplicates(df, 0.9, cell=cell).collect()}
+        assert out == {i: (int(whole[i].sum()) - 1, int(c), i == c) for i, c in enumerate(component)}
+
+
 def test_graph_search(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
