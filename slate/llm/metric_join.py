@@ -17,11 +17,12 @@ product), with exact results still.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slate.llm.common import components, mix, save
@@ -32,6 +33,8 @@ from slate.sources.staged import discard
 CELL, MAX_PIVOTS = 4096, 4096
 #: Bytes of a block and of a part, as doubles (vectors that floats hold exactly take half of it).
 BLOCK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+#: Parts that one job pairs with as many others, so that the driver has no more tasks to keep than this squared.
+JOB_PARTS = 128
 #: Vectors by which the leading directions are chosen, at most; vectors of a block that are compared at a time.
 SAMPLE, STRIP = 2048, 128
 #: Nothing within this of the limit is left to a matrix product.
@@ -264,10 +267,10 @@ def _meet(reach: float) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine)) <= F.col("a_radius") + F.col("b_radius") + reach + 1e-7
 
 
-def _join_parts(blocks: DataFrame, least: float, dim: int, basis: np.ndarray) -> DataFrame:
+def _join_parts(one: DataFrame, two: DataFrame, least: float, dim: int, basis: np.ndarray) -> DataFrame:
     """(id, links, other), saved: every two blocks meet in the task that reads their two files."""
-    spark = blocks.sparkSession
-    sides = [blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in blocks.columns if c != "part")) for side in "ab"]
+    spark = one.sparkSession
+    sides = [blocks.select(*(F.col(c).alias(f"{side}_{c}") for c in blocks.columns if c != "part")) for side, blocks in (("a", one), ("b", two))]
     pairs = sides[0].join(sides[1].hint("shuffle_replicate_nl"), (F.col("a_block") <= F.col("b_block")) & _meet(float(np.sqrt(2 - 2 * least))))
     # A file is a task's part: neither split nor read with another.
     limits = {f"spark.sql.files.{name}": spark.conf.get(f"spark.sql.files.{name}") for name in ("maxPartitionBytes", "openCostInBytes")}
@@ -280,6 +283,11 @@ def _join_parts(blocks: DataFrame, least: float, dim: int, basis: np.ndarray) ->
             spark.conf.set(name, value)
 
 
+def _drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete files of shuffles that nothing will read again: it does so when their plans are collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.9, cell: int = CELL) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable by links), kept.
 
@@ -291,6 +299,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell: int = CELL) ->
     rows = save(whole.select("vec_id", "key"))
     classes = save(whole.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.min("vector").alias("vector")))
     discard(whole)
+    _drop_shuffles(spark)
     n, dim = classes.agg(F.count("*"), F.max(width(F.col("vector")))).first()
     dim = dim or 1
     cell = max(1, min(cell, BLOCK_BYTES // (8 * dim)))
@@ -327,12 +336,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, cell: int = CELL) ->
             yield pa.RecordBatch.from_arrays([*arrays, *batch.columns], ["block", "part", "cell", *batch.schema.names])
 
     dealt = classes.select("id", "weight", "vector").mapInArrow(deal, "block long, part int, cell int, id long, weight long, vector binary")
-    dealt = dealt.repartitionById(n_parts, "part").sortWithinPartitions("block")
-    blocks = save(dealt.mapInArrow(_pack_blocks(dim, lambda: shared.value), "block long, part int, pivot array<double>, radius double, ids binary, weights binary, data binary"))
+    stored = []
+    for low in range(0, n_parts, JOB_PARTS):
+        some = min(JOB_PARTS, n_parts - low)
+        here = dealt.where((F.col("part") >= low) & (F.col("part") < low + some))
+        here = here.repartitionById(some, F.col("part") - low).sortWithinPartitions("block")
+        stored.append(save(here.mapInArrow(_pack_blocks(dim, lambda: shared.value), "block long, part int, pivot array<double>, radius double, ids binary, weights binary, data binary")))
     whole, classes = classes, save(classes.select("key", "id", "weight"))
     discard(whole)
-    found = _join_parts(blocks, least, dim, basis)
-    discard(blocks)
+    del here, dealt
+    _drop_shuffles(spark)
+    found = functools.reduce(DataFrame.union, [_join_parts(one, two, least, dim, basis) for k, one in enumerate(stored) for two in stored[k:]])
+    discard(*stored)
     reached = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(links, "id", "left").join(reached, F.col("id") == F.col("node"), "left")

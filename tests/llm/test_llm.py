@@ -163,6 +163,11 @@ def test_metric_join_copies_nothing_to_disk(spark):
     assert out == dict(enumerate((((y @ y.T) >= 0.9).sum(1) - 1).tolist()))
 
 
+def test_metric_join_several_jobs(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "JOB_PARTS", 3)
+    test_metric_join_small_cells(spark)
+
+
 def test_metric_join_limit_and_groups(spark):
     """Links a billionth beside the limit, doubles and floats in one table, groups of near copies over many blocks, repeated vectors."""
     rng = np.random.default_rng(9)
