@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slate.operators.rows import number_rows
-from slate.operators.spread import carry_last
+from slate.operators.spread import carry_last, carry_least
 
 OPS = {"==": "==", "=": "==", "<=": "<=", "<": "<", ">=": ">=", ">": ">"}
 
@@ -101,11 +102,13 @@ def _guard(x: DataFrame, i: DataFrame, conditions: Sequence[On], cartesian: bool
         raise ValueError(f"the join gives {row['rows']} rows, more than both tables have ({total}); allow it by cartesian=True")
 
 
-def join(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], nomatch: str | None = "NA", mult: str = "all", order: Sequence[str | Column] = (), cartesian: bool = True, many: bool = True) -> DataFrame:
+def join(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], nomatch: str | None = "NA", mult: str = "all", order: Sequence[str | Column] = (), cartesian: bool = True, many: bool = True, spread: bool | None = None) -> DataFrame:
     """Rows of i with their matches in x. ``mult`` takes the first or last match by ``order``, or all; ``error`` raises if a row of i has several.
 
     ``cartesian=False`` raises if i repeats keys and the result is longer than both tables, ``many=False`` if a key repeats
-    in both; these two count at once.
+    in both; these two count at once. The first or last match by one unequal condition comes from a running window over both tables,
+    not from pairs; ``spread`` (always without equal columns) cuts its groups into sorted ranges, at once. More than one
+    unequal condition, or an order that looks at i, makes the pairs.
     """
     conditions = parse_on(on, x, i)
     _types(x, i, conditions)
@@ -120,6 +123,9 @@ def join(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], nomatch
         mult = "all"
     if mult == "all":
         return _project(i.alias("i").join(x.alias("x"), _tests(conditions), how), x.select(*[F.col(f"`{c}`") for c in columns]), i, conditions)
+    if mult in ("first", "last") and len(equal) + 1 == len(conditions) and _within(x, order):
+        sided = _best_along(x, i, conditions, order, mult == "last", spread or (spread is None and not equal))
+        return _project(sided if nomatch is not None else sided.where(F.col("x").isNotNull()), x, i, conditions)
     single = _counted(i)
     row = F.struct(*[F.col(f"x.`{c}`").alias(c) for c in columns])
     joined = single.alias("i").join(x.withColumn("__hit", F.lit(1)).alias("x"), _tests(conditions), how)
@@ -135,6 +141,38 @@ def join(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], nomatch
     return _project(sided, x.select(*[F.col(f"`{c}`") for c in columns]), i, conditions)
 
 
+def _within(x: DataFrame, order: Sequence[str | Column]) -> bool:
+    """Whether ``order`` needs x's columns only."""
+    try:
+        x.alias("x").select(*[F.lit(0) if isinstance(o, str) else o for o in order])
+    except AnalysisException:
+        return False
+    return True
+
+
+def _best_along(x: DataFrame, i: DataFrame, conditions: Sequence[On], order: Sequence[str | Column], last: bool, spread: bool) -> DataFrame:
+    """Structs ``i`` of all rows of i and ``x`` of the first or last by ``order`` that each matches; one condition is unequal.
+
+    x and i are stacked along the unequal condition, from the end at which x matches most: the rows of x before a row of i in its
+    group are its matches, and a running minimum or maximum of the order finds one of them without making pairs.
+    """
+    (along,), equal = [o for o in conditions if o.op != "=="], [o for o in conditions if o.op == "=="]
+    keys = [f"__k{k}" for k in range(len(equal))]
+    by = F.struct(*[(F.col(f"x.`{o}`") if isinstance(o, str) else o).alias(f"o{k}") for k, o in enumerate(order)])
+    row = F.struct(*[F.col(f"x.`{c}`").alias(c) for c in x.columns])
+    right = x.alias("x").select(*[F.col(f"x.`{o.x}`").alias(k) for k, o in zip(keys, equal, strict=True)], F.col(f"x.`{along.x}`").alias("__at"), F.lit(0).alias("__side"), F.struct(by.alias("by"), row.alias("row")).alias("__x"))
+    left = i.alias("i").select(*[F.col(f"i.`{o.i}`").alias(k) for k, o in zip(keys, equal, strict=True)], F.col(f"i.`{along.i}`").alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(f"i.`{c}`").alias(c) for c in i.columns]).alias("__i"))
+    both = right.where(F.col("__at").isNotNull()).unionByName(left, allowMissingColumns=True)
+    # Rows of x at the same place are matches unless the condition is strict: then they come after those of i.
+    place = [F.desc("__at") if along.op in (">", ">=") else F.asc("__at"), F.desc("__side") if along.op in ("<", ">") else F.asc("__side")]
+    if spread:
+        both = carry_least(both, keys, place, F.col("__x"), "__best", last)
+    else:
+        w = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("__best", (F.max_by if last else F.min_by)("__x", F.col("__x.by")).over(w))
+    return both.where("__side = 1").select(F.col("__i").alias("i"), F.when(F.col("__at").isNotNull(), F.col("__best.row")).alias("x"))
+
+
 def matches(x: DataFrame, i: DataFrame, on: Sequence[str] | dict[str, str], order: Sequence[str | Column], name: str = "which") -> DataFrame:
     """Row numbers (from 1, in x's ``order``) of the rows of x that rows of i match, null for a row without a match."""
     return join(number_rows(x, order, name), i, on).select(name)
