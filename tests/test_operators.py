@@ -98,7 +98,7 @@ def test_several_matches(spark):
     assert J.join(x, many, ["k<=k"], mult="last", order=["v"]).where("v = 'c'").count() == 250_001
 
 
-@pytest.mark.parametrize(("mult", "best"), [("first", min)])
+@pytest.mark.parametrize(("mult", "best"), [("first", min), ("last", max)])
 def test_best_match_by_one_unequal_condition(spark, mult, best):
     """Against plain loops, and without the pairs that a join would make."""
     odd = [None, NAN, -0.0, 0.0, INF]
@@ -110,20 +110,21 @@ def test_best_match_by_one_unequal_condition(spark, mult, best):
         return (1, 0.0) if math.isnan(v) else (0, v)
 
     tests = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}
-    for op, equal in [(op, equal) for op in tests for equal in (["g"], [])]:
+    cases = [(op, ["g"], False) for op in tests] + [(">", ["g"], True), ("<=", ["g"], True), ("<", [], None), (">=", [], None)]
+    for k, (op, equal, spread) in enumerate(cases):
         expected = []
         for g, w in ys:
             met = [r for r in xs if (r[0] == g or not equal) and None not in (w, r[1]) and tests[op](place(r[1]), place(w))]
             expected.append((g, w, best(((r[2] is not None, r[2] or 0, r[3]) for r in met), default=(0, 0, None))[2]))
-        for spread, nomatch in ((True, "NA"), (None, None)):
-            out = J.join(x, i, [*equal, f"v{op}w"], nomatch, mult, ["o", "n"], spread=spread)
-            assert out.columns == (["g", "v", "o", "n"] if equal else ["g", "v", "o", "n", "i.g"])
-            got = [(r["g" if equal else "i.g"], r.v, r.n) for r in out.collect()]
-            assert sorted(map(str, got)) == sorted(str(r) for r in expected if nomatch or r[2] is not None), (op, equal, spread)
+        nomatch = "NA" if k % 2 else None
+        out = J.join(x, i, [*equal, f"v{op}w"], nomatch, mult, ["o", "n"], spread=spread)
+        assert out.columns == (["g", "v", "o", "n"] if equal else ["g", "v", "o", "n", "i.g"])
+        got = [(r["g" if equal else "i.g"], r.v, r.n) for r in out.collect()]
+        assert sorted(map(str, got)) == sorted(str(r) for r in expected if nomatch or r[2] is not None), (op, equal, spread)
     assert J.join(x, i, ["g", "v>w"], "NA", mult, [F.abs(F.col("v") - F.col("w")), "n"]).count() == len(ys)  # an order that looks at i
 
 
-@pytest.mark.parametrize("name", ["non_equi_first"])
+@pytest.mark.parametrize("name", ["non_equi_first", "non_equi_last"])
 def test_unequal_matches_make_no_pairs(spark, name):
     out = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
